@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def steps(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]
     n = len(texts)
     if not n:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     total = np.cumsum(sizes)
     lo = 0
     while lo < n:
@@ -53,7 +54,7 @@ def steps(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and row offsets (null: empty)."""
     if texts.null_count:
-        texts = pa.compute.fill_null(texts, "")
+        texts = pc.fill_null(texts, "")
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     off = np.frombuffer(texts.buffers()[1], dtype=kind, count=len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     data = texts.buffers()[2]

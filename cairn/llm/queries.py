@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Query name and the module that holds it.
-NAMES = {"op10_quality_rules": "quality"}
+NAMES = {"op2_candidate_boosting": "pii", "op3_bpe_codec": "bpe", "op6_min_bin_slack": "packing", "op10_quality_rules": "quality"}
 
 
 def queries() -> dict:
