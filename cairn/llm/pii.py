@@ -38,7 +38,7 @@ _card = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _local_end = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_loose_number = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,22}")
+_loose_number = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[\x20().-]{0,2}[0-9]){6,22}(?![A-Za-z0-9])")
 _iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ipv6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _spelled = re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]+)+")
@@ -180,7 +180,7 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> tuple[list[tuple[str, str, in
                 lead = cue("contact") if r.random() < 0.8 or s.isdigit() else r.choice(filler)
             else:
                 token = "".join(r.choice("0123456789abcdef") for _ in range(6))
-                s = r.choice((f"{token}{num(r.randint(7, 12))}{token}", f"={num(r.randint(8, 12))}a{token}", f"20{num(2)}-{num(2)}-{num(2)}", num(r.randint(7, 15)), f"{num(1)}.{num(2)}.{num(4)}", f"{num(4)} {num(4)}", f"{num(3)}.{num(3)}.{num(3)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}"))
+                s = r.choice((f"{token}-{num(r.randint(7, 12))}-{token}", f"={num(r.randint(8, 12))}", f"20{num(2)}-{num(2)}-{num(2)}", num(r.randint(7, 15)), f"{num(1)}.{num(2)}.{num(4)}", f"{num(4)} {num(4)}", f"{num(3)}.{num(3)}.{num(3)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}"))
         elif what == "card":
             s = card(good)
             s = "  ".join(s[i : i + 4] for i in range(0, len(s), 4)) if good else r.choice((s, " ".join(s[i : i + 4] for i in range(0, len(s), 4)), num(r.randint(13, 19))))
