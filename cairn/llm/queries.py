@@ -5,7 +5,14 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Query name and the module that holds it.
-NAMES = {"op2_candidate_boosting": "pii", "op3_bpe_codec": "bpe", "op6_min_bin_slack": "packing", "op10_quality_rules": "quality"}
+NAMES = {
+    "op2_candidate_boosting": "pii",
+    "op3_bpe_codec": "bpe",
+    "op5_lexicon_automata": "toxicity",
+    "op6_min_bin_slack": "packing",
+    "op7_page_differencing": "html_extract",
+    "op10_quality_rules": "quality",
+}
 
 
 def queries() -> dict:
