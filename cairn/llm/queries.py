@@ -8,9 +8,11 @@ from importlib import import_module
 NAMES = {
     "op2_candidate_boosting": "pii",
     "op3_bpe_codec": "bpe",
+    "op4_nn_descent": "nn_descent",
     "op5_lexicon_automata": "toxicity",
     "op6_min_bin_slack": "packing",
     "op7_page_differencing": "html_extract",
+    "op9_token_group_join": "ngram_join",
     "op10_quality_rules": "quality",
 }
 
@@ -23,4 +25,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .ngram_join import ORACLE
+
+    return {"op9_token_group_join": ORACLE}
