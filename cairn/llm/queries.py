@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name and the module that holds it.
 NAMES = {
+    "op1_segment_edit_join": "line_dedup",
     "op2_candidate_boosting": "pii",
     "op3_bpe_codec": "bpe",
     "op4_nn_descent": "nn_descent",
