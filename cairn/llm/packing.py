@@ -11,6 +11,7 @@ which need no padding.  Repeated rows are packed one by one; extra columns are i
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,44 +21,92 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import byte_letters
 from .common import load, steps
 
 #: Id that ends every document.
 END = 1
-#: Chunks (between white space) whose ids each worker remembers.
-REMEMBERED = 700_000
+#: Chunks (between white space) whose ids each worker remembers in each of two generations: when the young one is full
+#: it becomes the old one, and what is met again moves on.
+REMEMBERED = 900_000
 #: Remainders that are packed together.
 POOL = 8192
 
 _combining = re.compile("[̀-ͯ]")
 _separators = re.compile("[\x1c-\x1f]")
+_marked = re.compile(r"([^\W\d_]+)([^\w\s']+)\Z")
 
 
 class ChunkTokenizer:
-    """Ids by the tokenizers library, one call for each new chunk between white space, the rest from memory.
+    """Ids by the tokenizers library, once for each new word, the rest from memory.
 
-    The vocabulary's pre-tokeniser drops white space and never joins across it, so chunks encode alone.  ASCII letters
-    are lower-cased first, which the normaliser does anyway, unless combining marks could compose with them.
+    The vocabulary's pre-tokeniser drops white space, never joins across it, and parts letters from other marks, so
+    chunks between white space encode alone, and a word alone from the marks behind it.  ASCII letters are lower-cased
+    first, which the normaliser does anyway, unless combining marks could compose with them.  New words of letters
+    only go to the model many at a time as one sequence, in the letters that stand for their bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.words = Tokenizer(self.model.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.letters = dict(enumerate(byte_letters()))
         self.ids_of: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, chunks: set[str]) -> None:
+        known, ends, rest = self.ids_of, {}, []
+        if self.old:
+            met = chunks & self.old.keys()
+            known.update(zip(met, map(self.old.__getitem__, met)))
+            chunks -= met
+        words = {c for c in chunks if c.isascii() and c.isalpha()}
+        for c in chunks - words:
+            w = c
+            if not w.isalpha() and (m := _marked.match(c)):
+                w = m[1]
+                ends[c] = m
+            if not w.isascii():
+                n = unicodedata.normalize("NFC", w)
+                if n != w or "Σ" in w or not (n := n.lower()).isalpha() or n != w:
+                    ends.pop(c, None)
+                    rest.append(c)
+                    continue
+            if not w.isalpha():
+                rest.append(c)
+            elif w not in known:
+                words.add(w)
+        todo = list(words)
+        for i in range(0, len(todo), 8192):
+            part = todo[i : i + 8192]
+            found = self.words.encode(" ".join([w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in part]), add_special_tokens=False)
+            packed = np.array(found.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
+            known.update(zip(part, [packed[x:y] for x, y in zip(cuts, cuts[1:])]))
+        for c, m in ends.items():
+            marks = known.get(m[2])
+            if marks is None:
+                marks = known[m[2]] = self.direct(m[2])
+            known[c] = known[m[1]] + marks
+        for c in rest:
+            known[c] = self.direct(c)
+
     def many(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, without the end token."""
         split: list[list[str] | None] = []
-        known, fresh = self.ids_of, {}
+        known = self.ids_of
         if len(known) > REMEMBERED:
-            known.clear()
+            self.old, self.ids_of = known, {}
+            known = self.ids_of
         for text in texts:
             if _separators.search(text) or any(s in text for s in self.special):
                 split.append(None)
@@ -66,14 +115,10 @@ class ChunkTokenizer:
                 text = text.lower()
             elif not _combining.search(text):
                 text = text.encode().lower().decode()
-            chunks = text.split()
-            split.append(chunks)
-            fresh.update(dict.fromkeys(c for c in chunks if c not in known))
-        new = list(fresh)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for chunk, found in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
+            split.append(text.split())
+        fresh = set().union(*[c for c in split if c]) - known.keys()
+        if fresh:
+            self._learn(fresh)
         return [self.direct(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, split, strict=True)]
 
 
