@@ -30,6 +30,8 @@ LEAST = 24
 FILTER_BITS = 1 << 23
 #: Posting lists up to this length are compared position by position, longer ones seed by seed.
 SHORT = 24
+#: Entries that a task deals out at a time.
+DEAL = 1_000_000
 
 
 def line_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,35 +100,47 @@ def pair_parity(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def _deal(edits: int, least: int, buckets: int):
+    """Rows (bucket, keys, nodes, sketches): index entries and probes of the lines, many in one row."""
+
+    def row_batch(held: list) -> pa.RecordBatch:
+        key, own, sign = (np.concatenate(c) for c in zip(*held, strict=True))
+        bucket = ((key >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        key, own, sign, bucket = key[order], own[order], sign[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = [(int(bucket[a]), key[a:b].tobytes(), own[a:b].tobytes(), sign[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows, strict=True))], ["bucket", "key", "node", "sign"])
+
     def run(batches):
+        held, total, seen = [], 0, np.zeros(0, np.int64)
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in steps(texts, 8 << 20):
+            for lo, hi in steps(texts):
                 raw, off = joined(texts.slice(lo, hi - lo))
                 start, end, _, _ = line_spans(raw, off)
                 long = end - start >= least
                 start, end = start[long], end[long]
                 hashes = Rolling(raw)
                 node, one = np.unique(line_nodes(hashes, start, end), return_index=True)
+                new = ~np.isin(node, seen)
+                node, one = node[new], one[new]
+                seen = np.concatenate([seen, node])
                 start, end = start[one], end[one]
                 if not len(node):
                     continue
                 n = end - start
                 sign = pair_parity(raw, start, end)
-                key, own = [], []
                 for i, target, at, length, mine in substrings(n, edits):
                     salt = mix(target.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i))
                     h = mix(hashes(start + at, start + at + length) ^ salt)
                     # the lowest bit tells index entries, which probe too, from mere probes
-                    key.append(h | np.uint64(1) if mine else h & ~np.uint64(1))
-                    own.append(np.arange(len(n)))
-                key, own = np.concatenate(key), np.concatenate(own)
-                bucket = ((key >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                key, own, bucket = key[order], own[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                rows = [(int(bucket[a]), key[a:b].tobytes(), node[own[a:b]].tobytes(), sign[own[a:b]].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows, strict=True))], ["bucket", "key", "node", "sign"])
+                    held.append((h | np.uint64(1) if mine else h & ~np.uint64(1), node, sign))
+                    total += len(node)
+                if total > DEAL:
+                    yield row_batch(held)
+                    held, total, seen = [], 0, np.zeros(0, np.int64)
+        if total:
+            yield row_batch(held)
 
     return run
 
