@@ -13,6 +13,7 @@ NAMES = {
     "op5_lexicon_automata": "toxicity",
     "op6_min_bin_slack": "packing",
     "op7_page_differencing": "html_extract",
+    "op8_cover_suffix_dedup": "suffix_dedup",
     "op9_token_group_join": "ngram_join",
     "op10_quality_rules": "quality",
 }
