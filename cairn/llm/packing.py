@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -69,21 +70,20 @@ class ChunkTokenizer:
             met = chunks & self.old.keys()
             known.update(zip(met, map(self.old.__getitem__, met)))
             chunks -= met
-        words = {c for c in chunks if c.isascii() and c.isalpha()}
+        words = {c for c in chunks if c.isascii() and c.isalpha() and c.islower()}
         for c in chunks - words:
-            w = c
-            if not w.isalpha() and (m := _marked.match(c)):
-                w = m[1]
-                ends[c] = m
-            if not w.isascii():
-                n = unicodedata.normalize("NFC", w)
-                if n != w or "Σ" in w or not (n := n.lower()).isalpha() or n != w:
-                    ends.pop(c, None)
-                    rest.append(c)
-                    continue
-            if not w.isalpha():
+            plain = c.isascii()
+            if not plain and unicodedata.normalize("NFC", c) != c:
+                rest.append(c)
+                continue
+            m = None if c.isalpha() else _marked.match(c)
+            w = m[1] if m else c
+            if not w.isalpha() or "Σ" in w or w.lower() != w:
                 rest.append(c)
-            elif w not in known:
+                continue
+            if m:
+                ends[c] = m
+            if w not in known:
                 words.add(w)
         todo = list(words)
         for i in range(0, len(todo), 8192):
@@ -127,23 +127,19 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def fill(counts: dict[int, int], capacity: int) -> list[int]:
-    """The multiset of lengths (counts says how many of each there are) whose sum is closest to capacity from below.
+def fill(lengths: list[int], count, capacity: int) -> list[int]:
+    """The multiset of lengths whose sum is closest to capacity from below, the longest length among it.
 
-    The longest length comes first; the others are offered from long to short, and the search ends as soon as the
-    capacity is met exactly.
+    lengths: distinct, ascending; count(x) says how many of x there are.  They are offered from long to short, and the
+    search ends as soon as the capacity is met exactly.
     """
-    lengths = sorted((x for x, n in counts.items() if n), reverse=True)
-    if not lengths:
-        return []
-    first = lengths[0]
+    first = lengths[-1]
     room = capacity - first
     mask = (1 << (room + 1)) - 1
     reach, saved = 1, []
-    for x in lengths:
-        if x > room:
-            continue
-        n, step = min(counts[x] - (x == first), room // x), 1
+    for k in range(bisect_right(lengths, room) - 1, -1, -1):
+        x = lengths[k]
+        n, step = min(count(x) - (x == first), room // x), 1
         while n > 0 and not reach >> room & 1:  # n copies as powers of two, the rest last
             take = min(step, n)
             saved.append((x, take, reach))
@@ -162,56 +158,58 @@ def fill(counts: dict[int, int], capacity: int) -> list[int]:
 
 
 class Packer:
-    """Packs the remainders of one partition; yields rows (piece, sequence number, offset)."""
+    """Packs the remainders of one partition; yields rows (piece, skip, length, sequence number, offset)."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.sequence, self.waiting = capacity, 0, {}
-        self.held = 0
+        self.capacity, self.sequence, self.held, self.total = capacity, 0, 0, 0
+        self.waiting: dict[int, list] = {}
+        self.lengths: list[int] = []  # of those waiting, distinct and ascending
 
     def put(self, length: int, piece: object) -> None:
-        self.waiting.setdefault(length, []).append(piece)
+        pieces = self.waiting.get(length)
+        if pieces is None:
+            self.waiting[length] = [piece]
+            insort(self.lengths, length)
+        else:
+            pieces.append(piece)
         self.held += 1
+        self.total += length
+
+    def take(self, length: int) -> object:
+        pieces = self.waiting[length]
+        piece = pieces.pop()
+        if not pieces:
+            del self.waiting[length], self.lengths[bisect_left(self.lengths, length)]
+        self.held -= 1
+        self.total -= length
+        return piece
 
     def full_window(self) -> int:
         self.sequence += 1
         return self.sequence - 1
 
     def drain(self, last: bool) -> Iterator[tuple[object, int, int, int, int]]:
-        """(piece, skip, length, sequence, offset); leaves up to a window's worth of open pieces unless last."""
+        """Fills windows; unless last, ends when no window can be met exactly or few pieces are left."""
         keep = 0 if last else POOL // 8
         while self.held > keep:
-            counts = {x: len(p) for x, p in self.waiting.items() if p}
-            chosen = fill(counts, self.capacity)
-            if sum(chosen) < self.capacity and (not last or sum(x * n for x, n in counts.items()) >= self.capacity):
-                # no exact fit: top the window up with the front of one more piece, cut there
-                if not last:
-                    return
-                yield from self._cut_fill(chosen)
-                continue
-            if sum(chosen) < self.capacity:
+            chosen = fill(self.lengths, lambda x: len(self.waiting[x]), self.capacity)
+            short = sum(chosen) < self.capacity
+            if short and not last:
+                return
+            if short and self.total < self.capacity:
                 yield from self._tail()
                 return
             number, at = self.full_window(), 0
             for x in chosen:
-                yield self.waiting[x].pop(), 0, x, number, at
+                yield self.take(x), 0, x, number, at
                 at += x
-                self.held -= 1
-
-    def _cut_fill(self, chosen: list[int]) -> Iterator[tuple[object, int, int, int, int]]:
-        number, at = self.full_window(), 0
-        for x in chosen:
-            yield self.waiting[x].pop(), 0, x, number, at
-            at += x
-            self.held -= 1
-        while at < self.capacity:
-            x = max(k for k, p in self.waiting.items() if p)
-            piece = self.waiting[x].pop()
-            self.held -= 1
-            take = min(x, self.capacity - at)
-            yield piece, 0, take, number, at
-            at += take
-            if take < x:
-                self.put(x - take, (piece, take))
+            while at < self.capacity:  # no exact fit: the front of one more piece, cut there
+                x = self.lengths[-1]
+                piece, part = self.take(x), min(x, self.capacity - at)
+                yield piece, 0, part, number, at
+                at += part
+                if part < x:
+                    self.put(x - part, (piece, part))
 
     def _tail(self) -> Iterator[tuple[object, int, int, int, int]]:
         """What is left, under one window: sequences of falling powers of two, pieces cut at their ends."""
@@ -227,7 +225,8 @@ class Packer:
                 yield piece, skip, take, number, at
                 skip, x, room, at, left = skip + take, x - take, room - take, at + take, left - take
         self.waiting.clear()
-        self.held = 0
+        self.lengths.clear()
+        self.held = self.total = 0
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
