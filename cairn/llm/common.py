@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -12,20 +14,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds a Python worker's memory.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+
+
+#: Rows that Spark hands to a Python worker at a time; texts may be long, so fewer than its default.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS where it is larger, for the JVM's and the workers' memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of our own only where none is set (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints/cairn"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """At the end of the session, remove a written table."""
+    with contextlib.suppress(Exception):  # the cluster may be gone by then
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -33,6 +57,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cairn-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,10 +90,11 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (murmur3's): spreads every input bit over the word."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 #: Odd base of the polynomial byte hash modulo 2**64, and its inverse.
@@ -80,11 +106,11 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.ones(max(n, 1 << 16), np.uint64)
+        have = np.ones(max(n, STEP_BYTES + (1 << 17)), np.uint64)
         have[1:] = np.uint64(base)
         with np.errstate(over="ignore"):
             np.multiply.accumulate(have, out=have)
-        if len(have) <= 8 << 20:
+        if len(have) <= 4 << 20:
             _powers[base] = have
     return have[:n]
 
@@ -96,7 +122,17 @@ class Rolling:
         n = len(raw)
         self.inverse = powers(_INVERSE, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=self.sums[1:])
+        terms = raw.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= powers(_BASE, n)
+        np.cumsum(terms, out=self.sums[1:])
+
+    def grams(self, size: int) -> np.ndarray:
+        """Hashes of the substrings of one size at every position."""
+        out = self.sums[size:] - self.sums[:-size]
+        out *= self.inverse[: len(out)]
+        out += np.uint64(size) * np.uint64(0x2545F4914F6CDD1D)
+        return mix(out)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
@@ -202,7 +238,9 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     shrink = lambda e: e.select("a", "b").mapInArrow(forest, "a long, b long")
-    now = materialize(shrink(edges), tag)
+    # a family meets in many partitions, mostly under the same smallest node: equal edges go before the rounds start
+    # (and one Python worker a task is enough: no second one behind the operator that makes the edges)
+    now = materialize(shrink(edges.select("a", "b").distinct()), tag)
     while True:
         # every node hands its smallest neighbour to its larger neighbours, and to its smaller ones
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -13,7 +13,7 @@ A document's set is its distinct 5-word shingles.  The join never compares all p
    and exact intersections decide, except between documents that are connected already.
 
 Components follow from links; a lost executor repeats its tasks alone.  Hashes have 64 bits.  Null, empty or white texts
-are linked with nothing; repeated rows are copies; extra columns are ignored; an empty table gives an empty result.
+are linked with nothing; rows without doc_id link only as exact copies; repeated rows are copies; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialize, mix, shingles, spanning_forest, steps
+from .common import connected_components, load, materialize, mix, shingles, small_batches, spanning_forest, steps
 
 SKETCH = 1 << 20
 CHUNK = 4096
+#: Leading shingles that a task deals out at a time.
+DEAL = 600_000
 FAR = 38
 #: Posting lists up to this length are compared position by position, longer ones seed by seed.
 SHORT = 24
@@ -93,13 +95,28 @@ def _one_bit_minhashes(tokens: np.ndarray) -> bytes:
 def _deal(common: np.ndarray, buckets: int, percent: int):
     """Rows (bucket, nodes, sizes, minhashes, counts, tokens): the leading shingles of a step's documents by bucket."""
 
+    def row_batch(node: list, size: list, signs: list, lead: list) -> pa.RecordBatch:
+        tokens = np.concatenate(lead)
+        owner = np.repeat(np.arange(len(node)), [len(x) for x in lead])
+        bucket = (tokens % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((owner, bucket))
+        tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+        node_, size_, signs_ = np.array(node, np.int64), np.array(size, np.int32), np.frombuffer(b"".join(signs), np.uint64).reshape(-1, 2)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        cols = [[] for _ in range(6)]
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+            own, count = np.unique(owner[a:b], return_counts=True)
+            for c, v in zip(cols, (int(bucket[a]), node_[own].tobytes(), size_[own].tobytes(), signs_[own].tobytes(), count.astype(np.uint32).tobytes(), tokens[a:b].tobytes()), strict=True):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "node", "size", "signs", "count", "tokens"])
+
     def run(batches):
         is_common = np.unpackbits(common).astype(bool)
         shift = np.uint64(64 - SKETCH.bit_length() + 1)
+        held, seen, total = ([], [], [], []), set(), 0
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in steps(texts, 16 << 20):
-                node, size, signs, lead, seen = [], [], [], [], set()
+            for lo, hi in steps(texts):
                 for _, tokens in shingles(texts.slice(lo, hi - lo)):
                     n = len(tokens)
                     d = _digest(tokens) if n else None
@@ -111,25 +128,14 @@ def _deal(common: np.ndarray, buckets: int, percent: int):
                     first = tokens[~late][:p]
                     if len(first) < p:
                         first = np.concatenate([first, tokens[late][: p - len(first)]])
-                    node.append(d)
-                    size.append(n)
-                    signs.append(_one_bit_minhashes(tokens))
-                    lead.append(first)
-                if not node:
-                    continue
-                tokens = np.concatenate(lead)
-                owner = np.repeat(np.arange(len(node)), [len(x) for x in lead])
-                bucket = (tokens % np.uint64(buckets)).astype(np.int32)
-                order = np.lexsort((owner, bucket))
-                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-                node_, size_, signs_ = np.array(node, np.int64), np.array(size, np.int32), np.frombuffer(b"".join(signs), np.uint64).reshape(-1, 2)
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                cols = [[] for _ in range(6)]
-                for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                    own, count = np.unique(owner[a:b], return_counts=True)
-                    for c, v in zip(cols, (int(bucket[a]), node_[own].tobytes(), size_[own].tobytes(), signs_[own].tobytes(), count.astype(np.uint32).tobytes(), tokens[a:b].tobytes()), strict=True):
+                    for c, v in zip(held, (d, n, _one_bit_minhashes(tokens), first), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "node", "size", "signs", "count", "tokens"])
+                    total += p
+                if total > DEAL:
+                    yield row_batch(*held)
+                    held, seen, total = ([], [], [], []), set(), 0
+        if total:
+            yield row_batch(*held)
 
     return run
 
@@ -192,13 +198,18 @@ def _candidates(percent: int):
 
 
 class TokenGroupMatrix:
-    """Groups of similar sets, each with the union of its tokens; links every set that is put to those it reaches."""
+    """Groups of similar sets as columns of a bit matrix, tokens as rows; a column is the union of its group's tokens.
+
+    A set that is put is linked to the sets it reaches; within a group, sets that are connected count as one.
+    """
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, tokens: int):
         self.percent = percent
-        self.sets: list[np.ndarray] = []
+        self.sets: list[np.ndarray] = []  # of token numbers
         self.parent: list[int] = []
-        self.groups: list[tuple[np.ndarray, list[int]]] = []  # sorted union, members
+        self.bits = np.zeros((tokens, 1), np.uint8)
+        self.groups: list[dict[int, list[int]]] = []  # root -> members
+        self.mark = np.zeros(tokens, bool)
 
     def find(self, x: int) -> int:
         while self.parent[x] != x:
@@ -206,52 +217,61 @@ class TokenGroupMatrix:
             x = self.parent[x]
         return x
 
-    @staticmethod
-    def overlap(a: np.ndarray, b: np.ndarray) -> int:
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        return int((b[at] == a).sum())
-
     def put(self, tokens: np.ndarray) -> None:
         me, n = len(self.sets), len(tokens)
         self.sets.append(tokens)
         self.parent.append(me)
-        best, home = 0, -1
-        for g, (union, members) in enumerate(self.groups):
-            bound = self.overlap(tokens, union)
-            if bound > best:
-                best, home = bound, g
-            if 100 * bound < self.percent * n:
-                continue  # no member can share enough
-            for m in members:
-                if self.find(m) != self.find(me):
+        bounds = np.unpackbits(self.bits[tokens], axis=1).sum(0, dtype=np.int64)[: len(self.groups)]
+        self.mark[tokens] = True
+        for g in np.flatnonzero(100 * bounds >= self.percent * n):  # no other group has a member that shares enough
+            self.groups[g] = self._open(self.groups[g], me, n)
+        self.mark[tokens] = False
+        home = int(bounds.argmax()) if len(bounds) else -1
+        if home < 0 or 2 * bounds[home] < n:
+            home = len(self.groups)
+            self.groups.append({})
+            if home == 8 * self.bits.shape[1]:
+                self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)], axis=1)
+        self.bits[tokens, home >> 3] |= 128 >> (home & 7)
+        self.groups[home].setdefault(self.find(me), []).append(me)
+
+    def _open(self, group: dict[int, list[int]], me: int, n: int) -> dict[int, list[int]]:
+        """Link `me` (n marked tokens) with the group's members; the group's members by their present roots."""
+        out: dict[int, list[int]] = {}
+        for root, members in group.items():
+            root = self.find(root)
+            if root != self.find(me):
+                for m in reversed(members):
                     other = self.sets[m]
                     if 100 * min(n, len(other)) >= self.percent * max(n, len(other)):
-                        inter = self.overlap(tokens, other)
+                        inter = int(self.mark[other].sum())
                         if 100 * inter >= self.percent * (n + len(other) - inter):
-                            self.parent[self.find(m)] = self.find(me)
-        if 2 * best >= n:
-            union, members = self.groups[home]
-            members.append(me)
-            self.groups[home] = (np.union1d(union, tokens), members)
-        else:
-            self.groups.append((tokens, [me]))
+                            self.parent[root] = self.find(me)
+                            break
+            out.setdefault(self.find(root), []).extend(members)
+        return out
 
 
 def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
         texts = table.column("text").combine_chunks()
         node, doc = table.column("node").to_pylist(), table.column("doc_id").to_pylist()
-        sets = {}
-        for row, tokens in shingles(texts):
-            if _digest(tokens) == node[row]:  # the row whose text it was, should an id repeat
-                sets.setdefault(node[row], (tokens, doc[row]))
+        sets: dict[int, tuple[np.ndarray, int]] = {}
+        for lo, hi in steps(texts):
+            for row, tokens in shingles(texts.slice(lo, hi - lo)):
+                row += lo
+                if len(tokens) and _digest(tokens) == node[row]:  # the row whose text it was, should an id repeat
+                    sets.setdefault(node[row], (tokens, doc[row]))
         order = sorted(sets, key=lambda d: (len(sets[d][0]), d))
-        matrix = TokenGroupMatrix(percent)
+        if not order:
+            return pa.table({"node": pa.array([], pa.int64()), "component": pa.array([], pa.int64())})
+        every, number = np.unique(np.concatenate([sets[d][0] for d in order]), return_inverse=True)
+        number = number.astype(np.int32)
+        matrix = TokenGroupMatrix(percent, len(every))
+        at = 0
         for d in order:
-            matrix.put(sets[d][0])
+            matrix.put(number[at : at + len(sets[d][0])])
+            at += len(sets[d][0])
         least: dict[int, int] = {}
         for i, d in enumerate(order):
             r = matrix.find(i)
@@ -263,6 +283,7 @@ def _verify(percent: int):
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links of Jaccard similarity percent/100 or more)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     survey = materialize(docs.mapInArrow(_survey, "doc_id long, n long, digest long, chunk int, counts binary"), "survey")
