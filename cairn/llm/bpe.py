@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import load, steps
+from .common import load, small_batches, steps
 
 #: The byte-level pre-tokeniser's pattern (a fixed value of the public format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -231,6 +231,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digests_only: b
                 kind = pa.string() if digests_only else pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([ids_.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a, kind), pa.array(b, pa.string())], out.replace(" long", "").replace(" array<int>", "").replace(" string", "").split(", "))
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 

@@ -11,8 +11,9 @@ line's byte pairs: an edit turns at most four bits of it, which drops most chanc
 Candidates are joined to families, the families' lines come from the texts through a Bloom filter of fixed size, and a
 banded bit-parallel edit distance decides between lines that are not connected yet.  Equal lines are one node.
 
-A null text is kept as it is.  Rows that repeat a doc_id count as one document whose lines stay or go alike.  Extra
-columns pass through; an empty table gives an empty result.
+A null text is kept as it is, and so is a row without doc_id, whose lines count for nothing.  Rows that repeat a doc_id
+count as one document whose lines stay or go alike.  Extra columns pass through, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, connected_components, joined, load, materialize, mix, spanning_forest, steps
+from .common import Rolling, connected_components, fresh, joined, load, materialize, mix, small_batches, spanning_forest, steps
 
 EDITS = 2
 LEAST = 24
@@ -326,6 +327,7 @@ def _verify(edits: int):
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id and the sorted numbers of the lines of it that go, for documents that lose any."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     lines = materialize(docs.filter("doc_id is not null").mapInArrow(_occurrences(least), "doc_id long, line long, node long"), "lines")
@@ -342,20 +344,27 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """docs without the lines that go; every row and column stays, n_chars follows the text; n_lines and n_removed are added."""
-    gone = removed_lines(docs, edits, least).withColumnRenamed("doc_id", "_doc")
-    j = docs.join(gone.hint("shuffle_hash"), docs.doc_id == F.col("_doc"), "left")
-    parts = F.split("text", "\n")
-    left = F.filter(parts, lambda x, i: ~F.array_contains("gone", i.cast("long")))
-    out = j.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
-    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+def _without_lines(docs: DataFrame, edits: int, least: int) -> tuple[DataFrame, str, str]:
+    """docs with the lines gone and two more columns, whose names are given: lines before, lines gone."""
+    owner, gone, before, count = (fresh(docs, n) for n in ("_doc", "_gone", "n_lines", "n_removed"))
+    lost = removed_lines(docs, edits, least).toDF(owner, gone)
+    j = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost[owner], "left")
+    parts = F.split("text", "\n", -1)
+    left = F.filter(parts, lambda x, i: ~F.array_contains(gone, i.cast("long")))
+    out = j.withColumns({before: F.coalesce(F.size(parts), F.lit(0)).cast("long"), count: F.coalesce(F.size(gone), F.lit(0)).cast("long")})
+    out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    return out, before, count
+
+
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """docs without the lines that go; every row and column stays, n_chars follows the text."""
+    return _without_lines(docs, edits, least)[0].select(docs.columns)
 
 
 def op1_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of the kept text (null text: empty) of each document."""
-    d = dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    d, before, count = _without_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), EDITS, LEAST)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.col(before)).cast("long")
+    return d.select("doc_id", n.alias("n_lines"), F.col(count).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

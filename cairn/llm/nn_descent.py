@@ -8,7 +8,7 @@ is below WANTED, more trees and rounds follow.  Lists that are saturated (all K
 their whole linked component, compared block by block, with counts instead of pairs as results.
 
 Cosines are computed in double precision; none below the threshold links.  Null vectors, zero vectors and vectors with
-null or non-finite components link with nothing; vectors of different lengths are not compared.  Repeated rows are
+null or non-finite components link with nothing, and rows without vec_id are no one's neighbour; vectors of different lengths are not compared.  Repeated rows are
 copies; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialize
+from .common import connected_components, load, materialize, small_batches
 
 K = 8
 LEAF = 256
@@ -230,11 +230,12 @@ def _count_blocks(kind: str, threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id and kept of each vector."""
+    small_batches(vectors.sparkSession)
     element = dict(vectors.dtypes)["embedding"]
     kind = "<f4" if "float" in element else "<f8"
     rows = vectors.select("vec_id", "embedding").mapInArrow(_prepare(kind), "vec_id long, x binary")
     rows = materialize(rows.withColumn("key", F.sha2("x", 256)), "vectors")
-    nodes = rows.filter("x is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.first("x").alias("x"))
+    nodes = rows.filter("x is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.first("x").alias("x"))
     nodes = materialize(nodes, "nodes")
     count = nodes.count()
     near = F.col("s") >= threshold - 0.05
@@ -281,7 +282,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         "key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id")
     )
     out = rows.select("vec_id", "key").join(table, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

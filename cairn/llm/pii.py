@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Calibration
-from .common import load, steps
+from .common import load, small_batches, steps
 
 #: Order of kinds in results; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ipv6")
@@ -247,6 +247,7 @@ def _map(docs: DataFrame, schema: str, row) -> DataFrame:
                 rows = [row(fitted, i, t) for i, t in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -289,6 +290,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(texts, batch.schema.field(c).type) if c == "text" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
+    small_batches(docs.sparkSession)
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import load, materialize, steps
+from .common import fresh, load, materialize, small_batches, steps
 
 FOLDS = 5
 #: Labelled rows that the lexicon and the trees are fitted on, at most.
@@ -253,13 +253,15 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataF
                 found = model.scores([features(t or "", memory) for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, pa.float64())], [*names, column])
 
+    small_batches(docs.sparkSession)
     schema = docs.schema
     return docs.mapInArrow(run, type(schema)([*schema.fields, *docs.sparkSession.range(0).select(F.lit(0.0).alias(column)).schema.fields]))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     """The documents that score below `at`, with their columns."""
-    return score(docs, learn(docs, labels), "_toxicity").filter(F.col("_toxicity") < at).drop("_toxicity")
+    name = fresh(docs, "_toxicity")
+    return score(docs, learn(docs, labels), name).filter(F.col(name) < at).select(docs.columns)
 
 
 def op5_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
