@@ -1,6 +1,6 @@
 """A table store on plain Parquet: appended versions, a commit log, insert-only merges, history, time travel.
 
-`<table>/v=<n>/` holds the files of version n and `<table>/_log/<n>.json` commits them: readers list the log only, so a
+`<table>/v=<n>-<id>/` holds the files of version n and `<table>/_log/<n>.json` commits them: readers list the log only, so a
 failed append is invisible.  The log goes through Hadoop's file system API and works on any store Spark writes to; its
 files are created, never replaced, and a lost race surfaces as CommitConflict.
 """
@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class CommitConflict(RuntimeError):
@@ -84,13 +85,6 @@ class TableStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def versions(self, table: str) -> list[dict]:
-        """Commits since the last overwrite, in order."""
-        log = f"{self.path(table)}/_log"
-        entries = [json.loads(self.files.read(f"{log}/{n}")) for n in self.files.names(log) if n.endswith(".json")]
-        start = max((i for i, e in enumerate(entries) if e["operation"] == "OVERWRITE"), default=0)
-        return entries[start:]
-
     def all_versions(self, table: str) -> list[dict]:
         log = f"{self.path(table)}/_log"
         return [json.loads(self.files.read(f"{log}/{n}")) for n in self.files.names(log) if n.endswith(".json")]
@@ -103,23 +97,22 @@ class TableStore:
         if not entries:
             raise FileNotFoundError(f"no such table or version: {table}")
         start = max((i for i, e in enumerate(entries) if e["operation"] == "OVERWRITE"), default=0)
-        parts = [f"{self.path(table)}/v={e['version']}" for e in entries[start:] if e["rows"]]
-        schema = entries[-1]["schema"]
-        from pyspark.sql.types import StructType
-
-        reader = self.spark.read.schema(StructType.fromJson(schema))
-        return reader.parquet(*parts) if parts else self.spark.createDataFrame([], StructType.fromJson(schema))
+        parts = [f"{self.path(table)}/{e['folder']}" for e in entries[start:] if e["rows"]]
+        schema = StructType.fromJson(entries[-1]["schema"])
+        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
 
     def read_or_none(self, table: str) -> DataFrame | None:
         return self.read(table) if self.exists(table) else None
 
     def _commit(self, table: str, df: DataFrame, operation: str, batch_id: str | None, candidates: int | None = None) -> int:
         version = len(self.all_versions(table))
-        path = f"{self.path(table)}/v={version}"
-        df.write.mode("overwrite").parquet(path)
+        folder = f"v={version}-{uuid.uuid4().hex}"  # a writer that loses the race leaves the winner's files alone
+        path = f"{self.path(table)}/{folder}"
+        df.write.parquet(path)
         rows = self.spark.read.parquet(path).count()  # from the files' footers
-        entry = {"version": version, "operation": operation, "rows": rows, "candidates": rows if candidates is None else candidates, "batch_id": batch_id, "at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "schema": df.schema.jsonValue()}
+        entry = {"version": version, "folder": folder, "operation": operation, "rows": rows, "candidates": rows if candidates is None else candidates, "batch_id": batch_id, "at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "schema": df.schema.jsonValue()}
         if not self.files.create(f"{self.path(table)}/_log/{version:020d}.json", json.dumps(entry, sort_keys=True).encode()):
+            self.files.delete(path)
             raise CommitConflict(f"version {version} of {table} exists")
         return rows
 
@@ -135,8 +128,8 @@ class TableStore:
         The candidates are written once, as the new version's staging, so neither counting nor the anti-join repeats
         their plan.
         """
-        stage = f"{self.path(table)}/_staged"
-        df.write.mode("overwrite").parquet(stage)
+        stage = f"{self.path(table)}/_staged-{uuid.uuid4().hex}"
+        df.write.parquet(stage)
         staged = self.spark.read.schema(df.schema).parquet(stage)
         candidates = staged.count()
         try:
