@@ -14,7 +14,7 @@ an earlier start).  Texts count as UTF-8 bytes; strings lie within one document
   overlapping ranks, and the few bytes after them.  Memory is that of one bucket's contexts, never of the whole text.
 
 Nulls and texts shorter than `width` lose nothing.  Of rows that repeat a doc_id none is earlier than the other; what
-one of them loses, the other loses at the same place.  Extra columns are ignored; an empty table gives an empty result.
+one of them loses, the other loses at the same place.  A null doc_id counts as -1.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, joined, load, mix, steps
+from .common import Rolling, joined, load, mix, small_batches, steps
 
 WIDTH = 100
 GRAM = 32
@@ -34,8 +34,8 @@ STEP = 4
 #: Bits of the filter of repeated anchors, over all buckets.
 FILTER_BITS = 1 << 26
 #: Anchors, and bytes of contexts, that a task holds before it deals them out.
-HOLD_ANCHORS = 1_000_000
-HOLD_BYTES = 24 << 20
+HOLD_ANCHORS = 500_000
+HOLD_BYTES = 8 << 20
 
 
 def anchors(texts: pa.Array, width: int) -> tuple[np.ndarray, ...]:
@@ -45,11 +45,11 @@ def anchors(texts: pa.Array, width: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if n < width:
         return raw, np.zeros(0, np.uint64), none, none, none, none, none
-    at = np.arange(n - GRAM + 1)
-    hashes = Rolling(raw)
-    h = hashes(at, at + GRAM)
+    with np.errstate(over="ignore"):
+        h = Rolling(raw).grams(GRAM)
     # least hash in each window, ties to the first position: hash above, position below
-    least = (h & ~np.uint64(0xFFFFFFFF)) | at.astype(np.uint64)
+    least = h & ~np.uint64(0xFFFFFFFF)
+    least |= np.arange(len(h), dtype=np.uint64)
     size, window = 1, width - GRAM + 1
     while 2 * size <= window:
         least = np.minimum(least[:-size], least[size:])
@@ -283,6 +283,7 @@ def _sort(width: int):
 
 def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, first, last): runs of starts of strings that also start earlier, by byte position."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
