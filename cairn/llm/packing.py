@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import byte_letters
-from .common import load, steps
+from .common import joined, load, small_batches, steps
 
 #: Id that ends every document.
 END = 1
 #: Chunks (between white space) whose ids each worker remembers in each of two generations: when the young one is full
 #: it becomes the old one, and what is met again moves on.
-REMEMBERED = 900_000
+REMEMBERED = 650_000
 #: Remainders that are packed together.
 POOL = 8192
 
@@ -38,6 +38,11 @@ _separators = re.compile("[\x1c-\x1f]")
 _marked = re.compile(r"([^\W\d_]+)([^\w\s']+)\Z")
 
 
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] += 32
+_stop, _alnum, _space = (np.isin(np.arange(256), list(chars)) for chars in (b".,", b"abcdefghijklmnopqrstuvwxyz0123456789", b" \n"))
+
+
 class ChunkTokenizer:
     """Ids by the tokenizers library, once for each new word, the rest from memory.
 
@@ -100,26 +105,30 @@ class ChunkTokenizer:
         for c in rest:
             known[c] = self.direct(c)
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, without the end token."""
-        split: list[list[str] | None] = []
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of each text (null: empty), without the end token."""
         known = self.ids_of
         if len(known) > REMEMBERED:
             self.old, self.ids_of = known, {}
             known = self.ids_of
-        for text in texts:
-            if _separators.search(text) or any(s in text for s in self.special):
-                split.append(None)
-                continue
-            if text.isascii():
-                text = text.lower()
-            elif not _combining.search(text):
-                text = text.encode().lower().decode()
-            split.append(text.split())
+        raw, off = joined(texts)
+        raw = _lower[raw]
+        # a stop or comma between a letter or digit and white space is a piece of its own: part it from the word
+        stop = np.flatnonzero(_stop[raw])
+        stop = stop[(stop > 0) & (stop < len(raw) - 1)]
+        stop = stop[_alnum[raw[stop - 1]] & _space[raw[stop + 1]]]
+        off = off + np.searchsorted(stop, off)
+        whole = np.insert(raw, stop, 32).tobytes()
+        split: list[list[str] | None] = []
+        for i, (x, y) in enumerate(zip(off.tolist(), off[1:].tolist())):
+            text = whole[x:y].decode()
+            if not text.isascii() and _combining.search(text):
+                text = texts[i].as_py()  # capitals must stay
+            split.append(None if _separators.search(text) or any(s in text for s in self.special) else text.split())
         fresh = set().union(*[c for c in split if c]) - known.keys()
         if fresh:
             self._learn(fresh)
-        return [self.direct(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, split, strict=True)]
+        return [self.direct(texts[i].as_py()) if c is None else b"".join(map(known.__getitem__, c)) for i, c in enumerate(split)]
 
 
 @lru_cache(maxsize=2)
@@ -270,7 +279,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, ke
         for batch in batches:
             texts, docs_ = batch.column("text"), batch.column("doc_id")
             for lo, hi in steps(texts):
-                for doc, packed in zip(docs_.slice(lo, hi - lo).to_pylist(), model.many([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]), strict=True):
+                for doc, packed in zip(docs_.slice(lo, hi - lo).to_pylist(), model.many(texts.slice(lo, hi - lo)), strict=True):
                     packed += end
                     total, at = len(packed) // 4, 0
                     while total - at >= capacity:
@@ -286,6 +295,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, ke
         settle(True)
         yield from flush()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
