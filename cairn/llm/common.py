@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -256,3 +256,39 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").union(
         now.select("b", "b").distinct().toDF("node", "component")
     )
+
+
+def link_families(rows: DataFrame, verify: Callable[[pa.Table], pa.Table], limit: int, tag: str) -> DataFrame:
+    """(node, component): exact components inside candidate families, no task holding more than about 2 * limit rows.
+
+    rows: family, node and what `verify` reads; verify maps a table of rows to (node, component), component being a node
+    of the table.  Families over the limit are dealt to blocks.  Blocks are verified alone, then one row of each
+    component found is compared with those of the other blocks, which connects a family of real copies; only families
+    that are still apart compare every pair of blocks.
+    """
+    out = "node long, component long"
+    sizes = rows.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    if sizes.isEmpty():
+        return materialize(rows.groupBy("family").applyInArrow(verify, out), tag)
+    rows = materialize(rows, f"{tag}-rows")
+    blocks = F.coalesce(F.ceil(F.col("_n") / limit), F.lit(1)).cast("int")
+    dealt = rows.join(sizes, "family", "left").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).drop("_n")
+    first = materialize(dealt.groupBy("family", "_block").applyInArrow(verify, out), f"{tag}-blocks")
+    large = dealt.filter("_blocks > 1")
+    # one row of each component of each block
+    chosen = large.join(first.select(F.col("component").alias("node")).distinct(), "node", "left_semi").select(rows.columns)
+    if chosen.count() < large.count():
+        second = link_families(chosen, verify, limit, tag)
+    else:  # nothing was linked inside a block, so choosing would not make the families smaller
+        second = rows.sparkSession.createDataFrame([], out)
+    label = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
+    label = materialize(label, tag)
+    apart = large.select("family", "node").join(label, "node").groupBy("family").agg(F.count_distinct("component").alias("_n")).filter("_n > 1").select("family")
+    pairs = large.join(apart, "family", "left_semi").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).filter("_other <> _block")
+    pairs = pairs.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")})
+    if apart.isEmpty():
+        return label
+    more = pairs.groupBy("family", "_i", "_j").applyInArrow(verify, out)
+    edges = more.select(F.greatest("node", "component").alias("a"), F.least("node", "component").alias("b")).union(label.select(F.greatest("node", "component"), F.least("node", "component"))).filter("a <> b")
+    joined_ = connected_components(edges, f"{tag}-joined").withColumnRenamed("component", "_c")
+    return materialize(label.join(joined_, "node", "left").select("node", F.coalesce("_c", "node").alias("component")), tag)

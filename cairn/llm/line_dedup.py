@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, connected_components, fresh, joined, load, materialize, mix, small_batches, spanning_forest, steps
+from .common import Rolling, connected_components, fresh, joined, link_families, load, materialize, mix, small_batches, spanning_forest, steps
 
 EDITS = 2
 LEAST = 24
@@ -31,6 +31,8 @@ LEAST = 24
 FILTER_BITS = 1 << 23
 #: Posting lists up to this length are compared position by position, longer ones seed by seed.
 SHORT = 24
+#: Lines of a family that one task verifies; larger families are dealt to blocks.
+FAMILY_ROWS = 16384
 #: Entries that a task deals out at a time.
 DEAL = 1_000_000
 
@@ -325,7 +327,7 @@ def _verify(edits: int):
     return run
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, family_rows: int = FAMILY_ROWS) -> DataFrame:
     """doc_id and the sorted numbers of the lines of it that go, for documents that lose any."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -337,7 +339,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     families = connected_components(edges, "line-families")
     texts = docs.mapInArrow(_family_lines(bloom_of(families), least), "node long, line binary")
     whole = texts.join(families, "node").groupBy("node", "component").agg(F.min("line").alias("line"))
-    exact = materialize(whole.groupBy("component").applyInArrow(_verify(edits), "node long, component long"), "line-links")
+    exact = link_families(whole.withColumnRenamed("component", "family"), _verify(edits), family_rows, "line-links")
     placed = lines.join(exact, "node", "left").select("doc_id", "line", F.coalesce("component", "node").alias("c"))
     firsts = placed.groupBy("c").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "first")
     gone = placed.join(firsts, "c").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))

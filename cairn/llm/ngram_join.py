@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialize, mix, shingles, small_batches, spanning_forest, steps
+from .common import connected_components, link_families, load, materialize, mix, shingles, small_batches, spanning_forest, steps
 
 SKETCH = 1 << 20
 CHUNK = 4096
@@ -32,6 +32,8 @@ DEAL = 600_000
 FAR = 38
 #: Posting lists up to this length are compared position by position, longer ones seed by seed.
 SHORT = 24
+#: Documents of a family that one task verifies; larger families are dealt to blocks.
+FAMILY_ROWS = 8192
 
 
 def _digest(tokens: np.ndarray) -> int:
@@ -255,33 +257,29 @@ class TokenGroupMatrix:
 def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
         texts = table.column("text").combine_chunks()
-        node, doc = table.column("node").to_pylist(), table.column("doc_id").to_pylist()
-        sets: dict[int, tuple[np.ndarray, int]] = {}
+        node = table.column("node").to_pylist()
+        sets: dict[int, np.ndarray] = {}
         for lo, hi in steps(texts):
             for row, tokens in shingles(texts.slice(lo, hi - lo)):
                 row += lo
                 if len(tokens) and _digest(tokens) == node[row]:  # the row whose text it was, should an id repeat
-                    sets.setdefault(node[row], (tokens, doc[row]))
-        order = sorted(sets, key=lambda d: (len(sets[d][0]), d))
+                    sets.setdefault(node[row], tokens)
+        order = sorted(sets, key=lambda d: (len(sets[d]), d))
         if not order:
             return pa.table({"node": pa.array([], pa.int64()), "component": pa.array([], pa.int64())})
-        every, number = np.unique(np.concatenate([sets[d][0] for d in order]), return_inverse=True)
+        every, number = np.unique(np.concatenate([sets[d] for d in order]), return_inverse=True)
         number = number.astype(np.int32)
         matrix = TokenGroupMatrix(percent, len(every))
         at = 0
         for d in order:
-            matrix.put(number[at : at + len(sets[d][0])])
-            at += len(sets[d][0])
-        least: dict[int, int] = {}
-        for i, d in enumerate(order):
-            r = matrix.find(i)
-            least[r] = min(least.get(r, sets[d][1]), sets[d][1])
-        return pa.table({"node": pa.array(order, pa.int64()), "component": pa.array([least[matrix.find(i)] for i in range(len(order))], pa.int64())})
+            matrix.put(number[at : at + len(sets[d])])
+            at += len(sets[d])
+        return pa.table({"node": pa.array(order, pa.int64()), "component": pa.array([order[matrix.find(i)] for i in range(len(order))], pa.int64())})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 80, family_rows: int = FAMILY_ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links of Jaccard similarity percent/100 or more)."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -295,9 +293,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     families = connected_components(edges, "families")
     first = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     wanted = families.join(first, families.node == first.digest).select("doc_id", "node", F.col("component").alias("family"))
-    exact = docs.join(wanted, "doc_id").groupBy("family").applyInArrow(_verify(percent), "node long, component long")
-    exact = materialize(exact, "links")
-    known = first.join(exact, first.digest == exact.node, "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
+    exact = link_families(docs.join(wanted, "doc_id").select("family", "node", "text"), _verify(percent), family_rows, "links")
+    nodes = first.join(exact, first.digest == exact.node, "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("class"))
+    least = nodes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    known = nodes.join(least, "class").select("digest", "component_id")
     return rows.join(known, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -231,6 +231,8 @@ def test_ngram_join(spark):
     docs = documents(spark, texts)
     got = {r.doc_id: r for r in ngram_join.jaccard_components(docs).collect()}
     assert {i: r.component_id for i, r in got.items()} == expected and all(got[i].n_shingles == len(s) for i, s in sets.items())
+    blocks = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, family_rows=2).collect()}
+    assert blocks == expected
     one = ngram_join.keep_one_of_each(docs)
     assert sorted(r.doc_id for r in one.collect()) == sorted(set(expected.values())) and one.columns == docs.columns
 
@@ -275,6 +277,8 @@ def test_line_dedup(spark):
     docs = documents(spark, texts)
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns and len(gone) > 50
+    blocks = line_dedup.removed_lines(docs, family_rows=3).collect()
+    assert {(r_.doc_id, j) for r_ in blocks for j in r_.gone} == gone
     for row in out.collect():
         t = texts[row.doc_id]
         assert row.text == (None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (row.doc_id, j) not in gone))
