@@ -339,7 +339,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, famil
     families = connected_components(edges, "line-families")
     texts = docs.mapInArrow(_family_lines(bloom_of(families), least), "node long, line binary")
     whole = texts.join(families, "node").groupBy("node", "component").agg(F.min("line").alias("line"))
-    exact = link_families(whole.withColumnRenamed("component", "family"), _verify(edits), family_rows, "line-links")
+    exact = link_families(whole.withColumnRenamed("component", "family"), families.withColumnRenamed("component", "family"), _verify(edits), family_rows, "line-links")
     placed = lines.join(exact, "node", "left").select("doc_id", "line", F.coalesce("component", "node").alias("c"))
     firsts = placed.groupBy("c").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "first")
     gone = placed.join(firsts, "c").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))

@@ -293,7 +293,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, family_rows: int = FA
     families = connected_components(edges, "families")
     first = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     wanted = families.join(first, families.node == first.digest).select("doc_id", "node", F.col("component").alias("family"))
-    exact = link_families(docs.join(wanted, "doc_id").select("family", "node", "text"), _verify(percent), family_rows, "links")
+    exact = link_families(docs.join(wanted, "doc_id").select("family", "node", "text"), wanted.select("family", "node"), _verify(percent), family_rows, "links")
     nodes = first.join(exact, first.digest == exact.node, "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("class"))
     least = nodes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     known = nodes.join(least, "class").select("digest", "component_id")

@@ -27,7 +27,9 @@ def queries() -> dict:
     return found
 
 
-def oracle_sql() -> dict[str, str]:
-    from .ngram_join import ORACLE
+#: Queries whose module holds their SQL.
+WITH_SQL = ("op4_nn_descent", "op8_cover_suffix_dedup", "op9_token_group_join")
+
 
-    return {"op9_token_group_join": ORACLE}
+def oracle_sql() -> dict[str, str]:
+    return {name: import_module(f"{__package__}.{NAMES[name]}").ORACLE for name in WITH_SQL}

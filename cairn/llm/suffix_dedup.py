@@ -335,3 +335,19 @@ def dedup_suffixes(docs: DataFrame, width: int = WIDTH, digests_only: bool = Fal
 
 def op8_cover_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(load(spark, sf_dir, "documents"), digests_only=True)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS j FROM d WHERE n >= 100),
+k AS (SELECT doc_id, j, md5_number(substr(h, (2 * j + 1)::BIGINT, 200)) AS k FROM w),
+r AS (SELECT doc_id, j FROM (SELECT doc_id, j, row_number() OVER (PARTITION BY k ORDER BY doc_id, j) AS c FROM k) WHERE c > 1),
+i AS (SELECT doc_id, j, CASE WHEN j <= lag(j) OVER (PARTITION BY doc_id ORDER BY j) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, j, sum(fresh) OVER (PARTITION BY doc_id ORDER BY j) AS g FROM i),
+s AS (SELECT doc_id, g, min(j) AS a, max(j) + 100 AS b FROM g GROUP BY doc_id, g),
+x AS (SELECT doc_id, count(*) AS c, sum(b - a) AS m, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM s GROUP BY doc_id),
+p AS (SELECT d.doc_id, n, coalesce(c, 0) AS c, coalesce(m, 0) AS m, h, [0] || coalesce(b, []) AS f, coalesce(a, []) || [n] AS t FROM d LEFT JOIN x USING (doc_id))
+SELECT doc_id, n AS n_bytes, m::BIGINT AS n_removed, c::BIGINT AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(f) + 1), lambda q: substr(h, (2 * f[q] + 1)::BIGINT, (2 * (t[q] - f[q]))::BIGINT)), ''))) AS kept_sha256
+FROM p
+"""
