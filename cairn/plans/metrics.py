@@ -53,6 +53,33 @@ def frame_samples(df: DataFrame, name: str, value: str, labels: list[str]) -> li
     return [(name, {k: r[k] for k in labels}, float(r[value])) for r in df.select(*labels, value).collect() if r[value] is not None]
 
 
+def reconciliation_samples(reconciliation: DataFrame, now: float) -> list[Sample]:
+    from cairn.plans.kpi import latest_batch_reconciliation
+
+    r = latest_batch_reconciliation(reconciliation).head()
+    out = [("cairn_reconciliation_checks", {}, float(r["checks"])), ("cairn_reconciliation_failures", {}, float(r["failures"] or 0))]
+    return out if r["checked_at_seconds"] is None else [*out, ("cairn_reconciliation_age_seconds", {}, now - r["checked_at_seconds"])]
+
+
+def gold_samples(gold: Mapping[str, DataFrame], now: float) -> list[Sample]:
+    """Rows, duplicates of the grain and age of each mart, from one job."""
+    from functools import reduce
+
+    from cairn.operators.quality import GRAINS
+
+    parts = []
+    for t, grain in GRAINS.items():
+        loaded = F.max("source_load_datetime") if "source_load_datetime" in gold[t].columns else F.lit(None).cast("timestamp")
+        parts.append(gold[t].agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(*grain)).alias("d"), F.unix_timestamp(loaded).alias("at")).select(F.lit(t).alias("t"), "n", "d", "at"))
+    out = []
+    for r in reduce(DataFrame.unionAll, parts).collect():
+        labels = {"table": r["t"]}
+        out += [("cairn_gold_rows", labels, float(r["n"])), ("cairn_gold_duplicate_rows", labels, float(r["n"] - r["d"]))]
+        if r["at"] is not None:
+            out.append(("cairn_gold_age_seconds", labels, now - r["at"]))
+    return out
+
+
 # Alert thresholds (fixed values of the service objectives).
 MAX_LAG, MAX_TASK_SECONDS, MAX_AGE_SECONDS = 100, 900, 24 * 3600
 

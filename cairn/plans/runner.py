@@ -6,11 +6,12 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from cairn.operators import reconcile, star, vault
+from cairn.operators import quality, reconcile, star, vault
 from cairn.plans import manifest as M
 from cairn.plans.control import TASKS, ControlPlane
 from cairn.plans.gold import build_gold
 from cairn.plans.kpi import KPIS, run_kpi
+from cairn.sources import sinks
 from cairn.sources.store import MergeResult, TableStore
 
 #: Tasks of the change-capture pipeline; each needs the one before it.
@@ -88,6 +89,24 @@ def run_reports(gold: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return {k: run_kpi(k, dict(gold)) for k in KPIS}
 
 
+class TestsFailed(RuntimeError):
+    """Data tests returned rows."""
+
+
+def run_all(spark: SparkSession, store: TableStore, control: ControlPlane, batch_id: str, run_id: str, discover: Callable, read: Callable, export_to: str | None = None, as_of: Column | None = None) -> dict[str, DataFrame]:
+    """Every step of the change-capture pipeline, in the order of STEPS; a step that fails stops the rest."""
+    run_batch(spark, store, control, batch_id, run_id, discover, read)
+    tables = [t for t in vault.TABLES if store.exists(t)]
+    store.register("vault", ["hub_customer"], tables)
+    gold = run_gold(store, as_of)
+    broken = quality.failing(quality.gold_tests({t: store.read(t) for t in tables}, gold))
+    if broken:
+        raise TestsFailed(", ".join(broken))
+    if export_to:
+        sinks.export_csv({t: gold[t] for t in sinks.EXPORTED}, export_to)
+    return gold
+
+
 def run_rebuild(raw: Mapping[str, DataFrame], store: TableStore, at: Column | None = None, as_of: Column | None = None) -> dict[str, DataFrame]:
     """The batch path: cleanse, rebuild the vault, rebuild the star; every table is written once and read back."""
 

@@ -85,6 +85,9 @@ class Workload:
         self.offsets: dict[str, int] = {}
         self.lsn = 1000
         self.txid = 100
+        #: What the source says it committed: event_key, expected_count, txid, lsn_position.
+        self.ledger: list[tuple[str, int, int, int]] = []
+        self._committed = 0
 
     def emit(self, table: str, op: str, key: dict, after: dict | None, before: dict | None = None, **override) -> dict:
         """One event of schema.table; override sets envelope metadata."""
@@ -108,9 +111,15 @@ class Workload:
         self.events.append(event)
         return meta
 
-    def commit(self) -> None:
+    def commit(self, event_key: str = "snapshot") -> None:
+        """End the transaction: its events and last position go to the ledger with it."""
+        self.ledger.append((event_key, len(self.events) - self._committed, self.txid, self.lsn))
+        self._committed = len(self.events)
         self.txid += 1
 
+    def ledger_frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.ledger, "event_key string, expected_count long, txid long, lsn_position long")
+
     def stamps(self) -> dict:
         t = self.now.isoformat() + "Z"
         return {"created_at": t, "updated_at": t}
@@ -153,5 +162,53 @@ class Workload:
         keep = {k: application[k] for k in ("application_id", "customer_no", "product_code", "branch_code", "currency_code", "term_months")}
         return {"loan_id": i, "loan_no": f"L{i:08d}", **keep, "principal_amount": application["requested_amount"], "annual_interest_rate": "0.250000", "status_code": ("ACTIVE", "DELINQUENT", "CLOSED")[i % 3], "disbursed_at": application["decision_at"], "maturity_date": "2029-01-05Z"} | self.stamps() | change
 
+    def installment(self, i: int, loan_id: int, **change) -> dict:
+        return {"installment_id": i, "loan_id": loan_id, "installment_no": 1, "due_date": "2026-03-01Z", "principal_amount": "1000.00", "interest_amount": "250.00", "paid_amount": "0.00", "status_code": "PENDING", "paid_at": None} | self.stamps() | change
+
+    def changes(self) -> None:
+        """Five transactions after a snapshot: a customer's move, a contact's end, an approval, a missed instalment, a new rate."""
+        address = {"address_id": 1, "customer_id": 1, "address_type": "HOME", "address_line": "Street 1", "city": "Istanbul", "is_primary": True, "valid_from": "2026-01-15Z", "valid_to": None}
+        self.emit("mms.customers", "u", {"customer_id": 1}, self.customer(1, status_code="PASSIVE", segment_code="REVIEW_REQUIRED"), self.customer(1))
+        self.emit("mms.customer_addresses", "u", {"address_id": 1}, address | {"is_primary": False, "valid_to": "2026-01-15Z"} | self.stamps(), address | self.stamps())
+        self.emit("mms.customer_addresses", "c", {"address_id": 2}, address | {"address_id": 2, "address_line": "Street 2", "valid_from": "2026-01-16Z"} | self.stamps())
+        self.commit("customer_address_status_change")
+        contact = {"contact_id": 2, "customer_id": 1, "contact_type": "PHONE", "contact_value": "+905550000001", "is_primary": False, "is_verified": True}
+        self.emit("mms.customer_contacts", "d", {"contact_id": 2}, None, contact | self.stamps())
+        self.commit("secondary_contact_delete")
+        before = self.application(4)
+        approved = before | {"status_code": "APPROVED", "decision_at": (self.now + timedelta(hours=30)).isoformat() + "Z"} | self.stamps()
+        self.emit("krd.loan_applications", "u", {"application_id": 4}, approved, before)
+        self.emit("krd.loans", "c", {"loan_id": 4}, self.loan(4, approved, status_code="ACTIVE"))
+        for k in (41, 42):
+            self.emit("krd.installments", "c", {"installment_id": k}, self.installment(k, 4))
+        self.commit("loan_application_approval")
+        self.emit("krd.installments", "u", {"installment_id": 41}, self.installment(41, 4, status_code="PAID", paid_amount="1250.00", paid_at=self.now.isoformat() + "Z"))
+        self.emit("krd.installments", "u", {"installment_id": 42}, self.installment(42, 4, status_code="OVERDUE"))
+        self.emit("krd.loans", "u", {"loan_id": 4}, self.loan(4, approved, status_code="DELINQUENT"))
+        self.commit("installment_payment_and_delinquency")
+        rate = {"rate_parameter_id": 1, "product_code": "PL-CONSUMER", "rate_type": "BASE", "annual_rate": "0.250000", "effective_from": "2026-01-01Z", "effective_to": None}
+        self.emit("prm.rate_parameters", "u", {"rate_parameter_id": 1}, rate | {"effective_to": "2026-01-16Z"} | self.stamps(), rate | self.stamps())
+        self.emit("prm.rate_parameters", "c", {"rate_parameter_id": 4}, rate | {"rate_parameter_id": 4, "annual_rate": "0.275000", "effective_from": "2026-01-17Z"} | self.stamps())
+        self.commit("base_rate_change")
+
+    def current_state(self, step: str) -> None:
+        """One step of a life cycle: setup, delete, recreate a customer; relation-b, relation-a move an application's branch and back."""
+        gone, stays = self.customer(901, customer_no="LIFECYCLE"), self.customer(902, customer_no="RELATION")
+        app = self.application(901, customer_no="RELATION", application_no="RELATION-1", branch_code="IST001", status_code="PENDING", decision_at=None)
+        if step == "setup":
+            self.emit("mms.customers", "c", {"customer_id": 901}, gone)
+            self.emit("mms.customers", "c", {"customer_id": 902}, stays)
+            self.emit("krd.loan_applications", "c", {"application_id": 901}, app)
+        elif step == "delete":
+            self.emit("mms.customers", "d", {"customer_id": 901}, None, gone)
+        elif step == "recreate":
+            self.emit("mms.customers", "c", {"customer_id": 903}, gone | {"customer_id": 903, "last_name": "Recreated"})
+        elif step in ("relation-b", "relation-a"):
+            a, b = ("IST001", "ANK001") if step == "relation-b" else ("ANK001", "IST001")
+            self.emit("krd.loan_applications", "u", {"application_id": 901}, app | {"branch_code": b}, app | {"branch_code": a})
+        else:
+            raise ValueError(f"unknown step {step}")
+        self.commit(step)
+
     def frame(self, spark: SparkSession, events: Iterable | None = None) -> DataFrame:
         return spark.createDataFrame(list(self.events if events is None else events), ENVELOPE)

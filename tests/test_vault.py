@@ -1,5 +1,6 @@
 """Change events to vault, marts and reports, by scenario."""
 
+import json
 import os
 
 import pytest
@@ -10,7 +11,8 @@ from cairn.operators.reconcile import history_rules, noop_rules
 from cairn.plans.control import ControlError, ControlPlane
 from cairn.plans.gold import build_gold, order
 from cairn.plans.kpi import measures
-from cairn.plans.runner import load_phase, run_batch, run_gold, run_reports
+from cairn.plans import metrics
+from cairn.plans.runner import load_phase, run_all, run_batch, run_gold, run_reports
 from cairn.sources.generator import Workload
 from cairn.sources.store import TableStore
 
@@ -159,7 +161,11 @@ def test_bounded_batches_end_to_end(spark, tmp_path):
 
     write(w.events)
     store, control = TableStore(spark, str(tmp_path / "vault")), ControlPlane(str(tmp_path / "control.db"))
-    one = run_batch(spark, store, control, "b1", "r1", discover, read)
+    gold = run_all(spark, store, control, "b1", "r1", discover, read, str(tmp_path / "export"), as_of())
+    assert gold["dim_customer_current"].count() == 5 and (tmp_path / "export" / "manifest.json").exists()
+    one = json.loads(control.batch("b1")["manifest"])["payload"]
+    names = {n for n, _, _ in metrics.gold_samples(gold, 2e9)} | {n for n, _, _ in metrics.reconciliation_samples(store.read("cdc_raw_vault_reconciliation"), 2e9)}
+    assert {"cairn_gold_rows", "cairn_gold_age_seconds", "cairn_reconciliation_failures"} <= names
     assert one["interval_object_count"] == len(w.events)
     n = len(w.events)
     w.emit("mms.customers", "u", {"customer_id": 1}, w.customer(1, segment_code="PRIVATE"))
@@ -176,3 +182,25 @@ def test_bounded_batches_end_to_end(spark, tmp_path):
     assert store.read("sat_customer_details").count() == 6
     assert store.history("sat_customer_details").count() == 2
     assert os.path.isdir(tmp_path / "vault")
+
+
+def test_workload_scenarios(spark):
+    w = Workload()
+    w.snapshot(customers=5, applications=5)
+    w.changes()
+    for step in ("setup", "delete", "recreate", "relation-b", "relation-a"):
+        w.current_state(step)
+    f = flat(spark, w).cache()
+    ledger = w.ledger_frame(spark)
+    from cairn.plans import manifest as M
+
+    seen = {r.txid: r.observed_event_count for r in M.transaction_summary(f).collect()}
+    assert seen == {r.txid: r.expected_count for r in ledger.collect()} and len(seen) == 11
+    assert M.ledger_through(ledger, f.select("txid").filter("txid <= 103")).count() == 4
+    status = vault.build("sat_entity_record_status", f).filter("entity_business_key = 'LIFECYCLE'").orderBy("source_lsn")
+    assert [r.record_status for r in status.collect()] == ["ACTIVE", "DELETED", "ACTIVE"]
+    key = vault.build("hub_loan_application", f).filter("loan_application_bk = 'RELATION-1'").head().loan_application_hk
+    assert vault.build("sat_application_context_effectivity", f).filter(F.col("loan_application_hk") == key).count() == 3
+    assert {r.object_name: r.rows for r in vault.current_counts(f).collect()}["mms.customers"] == 7
+    events = {(r.table_name, r.operation): r.events for r in M.event_counts(f).collect()}
+    assert events["mms.customer_contacts", "d"] == 1 and events["krd.installments", "c"] == 2
