@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import load, small_batches, steps
+from .common import claim, load, small_batches, steps
 
 #: The byte-level pre-tokeniser's pattern (a fixed value of the public format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -212,6 +212,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digests_only: b
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests_only else "doc_id long, n_tokens long, ids array<int>, decoded string"
 
     def run(batches):
+        claim("bpe", encoder.cache_clear)
         if tokenizer is None:
             import public_tokenizers
 

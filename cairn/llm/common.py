@@ -32,6 +32,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_resident: list = []
+
+
+def claim(owner: str, clear: Callable[[], object] | None = None) -> None:
+    """Called as an operator's task starts in a Python worker: what another operator keeps there between tasks is let go."""
+    if _resident and _resident[0] != owner and _resident[1] is not None:
+        _resident[1]()
+    _resident[:] = [owner, clear]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     have = {c.lower() for c in df.columns}

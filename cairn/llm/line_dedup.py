@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, connected_components, fresh, joined, link_families, load, materialize, mix, small_batches, spanning_forest, steps
+from .common import Rolling, claim, connected_components, fresh, joined, link_families, load, materialize, mix, small_batches, spanning_forest, steps
 
 EDITS = 2
 LEAST = 24
@@ -59,6 +59,7 @@ def line_nodes(hashes: Rolling, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def _occurrences(least: int):
     def run(batches):
+        claim("line_dedup")
         for batch in batches:
             texts, docs = batch.column("text"), np.asarray(batch.column("doc_id").fill_null(-1))
             for lo, hi in steps(texts):

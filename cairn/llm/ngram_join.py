@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, link_families, load, materialize, mix, shingles, small_batches, spanning_forest, steps
+from .common import claim, connected_components, link_families, load, materialize, mix, shingles, small_batches, spanning_forest, steps
 
 SKETCH = 1 << 20
 CHUNK = 4096
@@ -45,6 +45,7 @@ def _digest(tokens: np.ndarray) -> int:
 
 def _survey(batches):
     """Per document its digest and size; per task the counters of its shingles, CHUNK in a row."""
+    claim("ngram_join")
     counts = np.zeros(SKETCH, np.uint32)
     shift = np.uint64(64 - SKETCH.bit_length() + 1)
     names = ["doc_id", "n", "digest", "chunk", "counts"]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import byte_letters
-from .common import joined, load, small_batches, steps
+from .common import claim, joined, load, small_batches, steps
 
 #: Id that ends every document.
 END = 1
@@ -247,6 +247,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, ke
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
+        claim("packing", chunk_tokenizer.cache_clear)
         if tokenizer is None:
             import public_tokenizers
 

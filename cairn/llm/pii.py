@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Calibration
-from .common import load, small_batches, steps
+from .common import claim, load, small_batches, steps
 
 #: Order of kinds in results; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ipv6")
@@ -283,6 +283,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches):
+        claim("pii")
         for batch in batches:
             for lo, hi in steps(batch.column("text")):
                 part = batch.slice(lo, hi - lo)

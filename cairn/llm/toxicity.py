@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import fresh, load, materialize, small_batches, steps
+from .common import claim, fresh, load, materialize, small_batches, steps
 
 FOLDS = 5
 #: Labelled rows that the lexicon and the trees are fitted on, at most.
@@ -30,7 +30,7 @@ SAMPLE = 8000
 #: Terms that the lexicon may hold.
 TERMS = 4000
 #: Chunks that each worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Chunks on either side of a hit that make its window.
 WINDOW = 8
 
@@ -189,6 +189,7 @@ class ToxicityModel:
 
 def _count_terms(batches):
     """(term, whole, toxic documents, others) of the sampled rows, whole words and beginnings of 4 to 9 letters."""
+    claim("toxicity")
     counts: dict[tuple[str, bool], list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -246,6 +247,7 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataF
     names = docs.columns
 
     def run(batches):
+        claim("toxicity")
         memory = model.memory()
         for batch in batches:
             for lo, hi in steps(batch.column("text")):
