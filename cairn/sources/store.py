@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,13 +93,16 @@ class TableStore:
     def exists(self, table: str) -> bool:
         return bool(self.files.names(f"{self.path(table)}/_log"))
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
+    def _parts(self, table: str, version: int | None = None) -> tuple[list[str], StructType]:
+        """Committed folders since the last overwrite, and the schema."""
         entries = [e for e in self.all_versions(table) if version is None or e["version"] <= version]
         if not entries:
             raise FileNotFoundError(f"no such table or version: {table}")
         start = max((i for i, e in enumerate(entries) if e["operation"] == "OVERWRITE"), default=0)
-        parts = [f"{self.path(table)}/{e['folder']}" for e in entries[start:] if e["rows"]]
-        schema = StructType.fromJson(entries[-1]["schema"])
+        return [f"{self.path(table)}/{e['folder']}" for e in entries[start:] if e["rows"]], StructType.fromJson(entries[-1]["schema"])
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        parts, schema = self._parts(table, version)
         return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
 
     def read_or_none(self, table: str) -> DataFrame | None:
@@ -150,14 +154,22 @@ class TableStore:
         rows = [(e["version"], e["operation"], e["rows"], e["candidates"], e["batch_id"], e["at"]) for e in self.all_versions(table)]
         return self.spark.createDataFrame(rows, "version long, operation string, rows_inserted long, candidates long, batch_id string, committed_at string")
 
-    def register(self, database: str, required: list[str], optional: list[str] = ()) -> list[str]:
-        """Views of the tables in a database of the catalog; a missing required table raises, a missing optional one is skipped."""
+    def register(self, database: str, required: Sequence[str], optional: Sequence[str] = ()) -> list[str]:
+        """Views of the tables' present state in a database of the catalog, made if need be; doing it again refreshes them.
+
+        A required table that is missing raises, an optional one is skipped.
+        """
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
         done = []
-        for table in [*required, *optional]:
+        for table in dict.fromkeys([*required, *optional]):
             if not self.exists(table):
                 if table in required:
                     raise FileNotFoundError(f"required table {table} does not exist")
                 continue
-            self.read(table).createOrReplaceTempView(f"{database}_{table}" if database else table)
+            parts, schema = self._parts(table)
+            columns = ", ".join(f"`{f.name}`" for f in schema.fields)
+            nothing = "SELECT " + ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields) + " WHERE false"
+            query = " UNION ALL ".join(f"SELECT {columns} FROM parquet.`{p}`" for p in parts) or nothing
+            self.spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{table}` AS {query}")
             done.append(table)
         return done

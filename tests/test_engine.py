@@ -68,7 +68,11 @@ def test_store(spark, tmp_path):
         late.append("t", df)
     assert store.read("t").count() == 3
     with pytest.raises(FileNotFoundError):
-        store.register("", ["missing"])
+        store.register("lake", ["missing"])
+    store.overwrite("none", df.limit(0))
+    assert store.register("lake", ["t"], ["none", "missing"]) == ["t", "none"] == store.register("lake", ["t"], ["none"])
+    assert spark.table("lake.t").count() == 3 and spark.table("lake.none").schema == df.schema
+    assert readers.describe_columns(spark.table("lake.t")) == [(1, "k", "int"), (2, "v", "string")]
 
 
 def records(spark, rows):
