@@ -3,7 +3,7 @@ neighbouring tokens is one that merging would leave apart; decoding by an offset
 
 A null text is empty; an empty text has no ids.  Extra columns are ignored, repeated rows are encoded one by one.
 Texts of any length are handled whole: pieces between white space are encoded once and remembered (a bounded
-memory per Python worker, cleared when full), so memory follows one text, not the table.
+memory per Python worker), so memory follows one text, not the table.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -22,8 +23,10 @@ from .common import claim, load, small_batches, steps
 
 #: The byte-level pre-tokeniser's pattern (a fixed value of the public format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces remembered by each worker.
-REMEMBERED = 600_000
+_first, _second = itemgetter(0), itemgetter(1)
+#: Units that each worker remembers in each of two generations: a full young one becomes the old one, and what is met
+#: again moves on.
+REMEMBERED = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -36,10 +39,15 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class BacktrackingBPE:
-    """Exact merges in linear time: a sequence is the merges' result if and only if each neighbouring pair is compatible."""
+class BacktrackingBPE(dict):
+    """Exact merges in linear time: a sequence is the merges' result if and only if each neighbouring pair is compatible.
+
+    As a dict it remembers units of text: their decimal ids joined by commas, and their ids packed.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
+        self.old: dict[str, tuple[str, bytes]] = {}
         spec = json.load(open(path, encoding="utf-8"))
         letters = byte_letters()
         to_byte = {c: b for b, c in enumerate(letters)}
@@ -87,7 +95,6 @@ class BacktrackingBPE:
         self.pieces = regex.compile(PIECES)
         self.spaces = regex.compile(r"\s ")
         self.cuts = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.ids_of: dict[str, tuple[str, bytes]] = {}
 
     def compatible(self, x: int, y: int) -> bool:
         """Whether merging leaves x and y apart: no merge across the border ranks before those that built x and y.
@@ -143,28 +150,34 @@ class BacktrackingBPE:
                 pos -= size[token]
         return out
 
-    def _remember(self, unit: str) -> tuple[str, bytes]:
-        ids: list[int] = []
-        for piece in self.pieces.findall(unit):
-            ids += [self.own[i] for i in self.encode_piece(piece.encode().decode("latin-1"))]
-        if len(self.ids_of) >= REMEMBERED:
-            self.ids_of.clear()
-        found = (",".join(map(str, ids)), np.array(ids, "<u4").tobytes())
+    def _one(self, piece: str) -> tuple[str, bytes]:
+        ids = [self.own[i] for i in self.encode_piece(piece.encode().decode("latin-1"))]
+        return ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
+
+    def __missing__(self, unit: str) -> tuple[str, bytes]:
+        """A unit that is not remembered: its pieces one by one, each of which may be."""
+        found = self.old.get(unit)
+        if found is None:
+            pieces = self.pieces.findall(unit)
+            if len(pieces) > 1:
+                parts = [self[p] for p in pieces]
+                found = ",".join(map(_first, parts)), b"".join(map(_second, parts))
+            else:
+                found = self._one(unit)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
         if len(unit) <= 200:
-            self.ids_of[unit] = found
+            self[unit] = found
         return found
 
     def _encode_plain(self, text: str) -> list[tuple[str, bytes]]:
         # a space that follows no white space always starts a piece, so the parts between are encoded apart
-        units = text.split(" ") if not self.spaces.search(text) else None
-        if units is None:
-            units = self.pieces.findall(text)
-        else:
-            units[1:] = [" " + u for u in units[1:]]
-            if units and not units[0]:
-                del units[0]
-        get, remember = self.ids_of.get, self._remember
-        return [get(u) or remember(u) for u in units]
+        if self.spaces.search(text):
+            return [self[p] if len(p) <= 200 else self._one(p) for p in self.pieces.findall(text)]
+        units = text.split(" ")
+        units[1:] = [" " + u for u in units[1:]]
+        return list(map(self.__getitem__, units if units[0] else units[1:]))
 
     def encode(self, text: str) -> tuple[str, bytes]:
         """(decimal ids joined by commas, ids as little-endian unsigned 32-bit)."""
@@ -181,7 +194,7 @@ class BacktrackingBPE:
                 last = m.end()
         if last < len(text):
             parts += self._encode_plain(text[last:] if last else text)
-        return ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        return ",".join(map(_first, parts)), b"".join(map(_second, parts))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the ids' tokens, invalid sequences replaced."""
