@@ -3,9 +3,11 @@
 Equal vectors are one node with a multiplicity.  Random-projection trees start the graph: a leaf is cut into runs of at
 most LEAF nodes along one more projection, so no leaf grows with a hot group.  Each round joins, at every node, its
 neighbours and the nodes it is a neighbour of, and compares them pairwise; lists keep the nearest K.  Rounds end when
-they hardly add pairs near the threshold.  An audit compares AUDIT nodes, chosen by hash, with all nodes; while its recall
-is below WANTED, more trees and rounds follow.  Lists that are saturated (all K neighbours over the threshold) grow to
-their whole linked component, compared block by block, with counts instead of pairs as results.
+they hardly add pairs near the threshold.  An audit compares nodes, chosen by hash, with all nodes, AUDIT of them first and
+then more until it has seen SEEN links or every node; while the lists hold less than WANTED of its links, more trees and
+rounds follow, and after MOST_TREES the audit goes through all nodes, whose links are then complete.  Links that an audit
+finds are added.  Lists that are saturated (all K neighbours over the threshold) grow to their whole linked component,
+compared block by block, with counts instead of pairs as results; the audit leaves links inside such a component out.
 
 Cosines are computed in double precision; none below the threshold links.  Null vectors, zero vectors and vectors with
 null or non-finite components link with nothing, and rows without vec_id are no one's neighbour; vectors of different lengths are not compared.  Repeated rows are
@@ -14,6 +16,8 @@ copies; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +31,11 @@ TREES = 3
 ROUNDS = 6
 AUDIT = 256
 WANTED = 0.98
+#: Links that an audit has to see before its recall counts, unless it has gone through all nodes.
+SEEN = 1000
+MOST_TREES = 8 * TREES
+#: Bytes of vectors that one pass of the audit sends to every task.
+PASS_BYTES = 1 << 22
 #: Nodes of a block when a saturated component is compared whole.
 BLOCK = 1024
 
@@ -183,27 +192,51 @@ def _grow_trees(nodes: DataFrame, trees: range, count: int, kind: str) -> DataFr
     return runs.mapInArrow(_leaves(kind), "u long, v long, s double")
 
 
-def _audit(nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """(u, v): links of AUDIT nodes by comparing them with all nodes."""
-    asked = nodes.select("node", "x").orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()
+def _truth(labelled: DataFrame, asked: list, kind: str, threshold: float) -> DataFrame:
+    """(u, v): links of the asked rows by comparing them with all nodes, but for those inside a saturated component."""
     q = {}
     for r in asked:
-        q.setdefault(len(r["x"]), []).append((r["node"], bytes(r["x"])))
+        q.setdefault(len(r["x"]), []).append((r["node"], r["component"], r["saturated"], bytes(r["x"])))
 
     def run(batches):
-        units = {n: (np.array([i for i, _ in v]), unit([x for _, x in v], kind)) for n, v in q.items()}
+        units = {n: (*(np.array(c) for c in list(zip(*v, strict=True))[:3]), unit([r[3] for r in v], kind)) for n, v in q.items()}
         for batch in batches:
-            ids, raw = np.asarray(batch.column("node")), batch.column("x").to_pylist()
+            ids, of, raw = np.asarray(batch.column("node")), np.asarray(batch.column("component")), batch.column("x").to_pylist()
             sizes = np.array([len(x) for x in raw])
-            for n, (who, x) in units.items():
+            for n, (who, mine, whole, x) in units.items():
                 rows = np.flatnonzero(sizes == n)
-                if len(rows):
-                    s = x @ unit([raw[i] for i in rows], kind).T
-                    i, j = np.nonzero(s >= threshold)
-                    i, j = i[who[i] != ids[rows][j]], j[who[i] != ids[rows][j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(who[i], pa.int64()), pa.array(ids[rows][j], pa.int64())], ["u", "v"])
-
-    return nodes.select("node", "x").mapInArrow(run, "u long, v long")
+                y = unit([raw[i] for i in rows], kind).T if len(rows) else None
+                for lo in range(0, len(who) if len(rows) else 0, BLOCK):
+                    i, j = np.nonzero(x[lo : lo + BLOCK] @ y >= threshold)
+                    i, j = i + lo, rows[j]
+                    ok = (who[i] != ids[j]) & ~(whole[i] & (mine[i] == of[j]))
+                    yield pa.RecordBatch.from_arrays([pa.array(who[i[ok]], pa.int64()), pa.array(ids[j[ok]], pa.int64())], ["u", "v"])
+
+    return labelled.select("node", "component", "x").mapInArrow(run, "u long, v long")
+
+
+def _audit(nodes: DataFrame, families: DataFrame, saturated: DataFrame, links: DataFrame, count: int, width: int, kind: str, threshold: float, whole: bool):
+    """Links seen (each once a node asked), those among them that `links` holds, and tables (a, b) of the links seen.
+
+    Nodes are dealt to blocks of about AUDIT by hash; blocks are asked until SEEN links are seen, or all of them (whole).
+    """
+    blocks = max(1, round(count / AUDIT))
+    most = max(1, PASS_BYTES // (AUDIT * max(width, 1)))
+    marked = families.join(saturated.withColumn("saturated", F.lit(True)), "component", "left")
+    labelled = nodes.select("node", "x").join(marked, "node", "left").select(
+        "node", "x", F.coalesce("component", "node").alias("component"), F.coalesce("saturated", F.lit(False)).alias("saturated"), F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")
+    )
+    labelled = materialize(labelled, "audited")
+    seen, found, tables, at, step = 0, 0, [], 0, 1
+    while at < blocks and (whole or seen < SEEN):
+        step = min(most, step)
+        asked = labelled.filter((F.col("block") >= at) & (F.col("block") < at + step)).drop("block").collect()
+        at, step = at + step, 2 * step
+        truth = _truth(labelled, asked, kind, threshold).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
+        tables.append(materialize(truth, "audit-links"))
+        got = tables[-1].join(links.withColumn("had", F.lit(True)), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("seen"), F.count("had").alias("found")).first()
+        seen, found = seen + got["seen"], found + got["found"]
+    return seen, found, tables
 
 
 def _count_blocks(kind: str, threshold: float):
@@ -228,6 +261,13 @@ def _count_blocks(kind: str, threshold: float):
     return run
 
 
+def _families(links: DataFrame, over: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of all linked nodes, and the components that have a node whose whole list is over the threshold."""
+    families = materialize(connected_components(links, "vector-families"), "families")
+    full = over.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= K)
+    return families, materialize(full.join(families, full.u == families.node).select("component").distinct(), "saturated")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id and kept of each vector."""
     small_batches(vectors.sparkSession)
@@ -237,7 +277,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = materialize(rows.withColumn("key", F.sha2("x", 256)), "vectors")
     nodes = rows.filter("x is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.first("x").alias("x"))
     nodes = materialize(nodes, "nodes")
-    count = nodes.count()
+    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("x")).alias("width")).first()
+    count, width = size["n"], size["width"] or 0
     near = F.col("s") >= threshold - 0.05
     trees, graph, links = 0, None, None
     while True:
@@ -253,18 +294,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                 break
             have = now
         over = graph.filter(F.col("s") >= threshold)
-        links = over.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
-        families = materialize(connected_components(links, "vector-families"), "families")
-        truth = _audit(nodes, kind, threshold)
-        # a pair is found if its nodes are in one component, whose lists are completed below
-        fu, fv = families.select(F.col("node").alias("u"), F.col("component").alias("cu")), families.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-        seen = truth.join(fu, "u", "left").join(fv, "v", "left").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("cu") == F.col("cv")).alias("found")).first()
-        if seen["found"] >= WANTED * seen["all"] or trees >= 8 * TREES:
+        links = materialize(over.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "links")
+        families, saturated = _families(links, over)
+        seen, found, tables = _audit(nodes, families, saturated, links, count, width, kind, threshold, trees >= MOST_TREES)
+        if found >= WANTED * seen or trees >= MOST_TREES:
             break
-    full = over.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= K)
-    saturated = full.join(families, full.u == families.node).select("component").distinct()
+    if found < seen:
+        links = materialize(reduce(DataFrame.union, tables, links).distinct(), "links")
+        families, saturated = _families(links, over)
     rest = families.join(saturated, "component", "left_anti").select("node", "component")
-    # unsaturated components: links are in the lists of either end
+    # unsaturated components: links are in the lists of either end, or an audit's
     ends = links.union(links.select("b", "a"))
     mult = nodes.select(F.col("node").alias("b"), "mult")
     few = ends.join(rest.select(F.col("node").alias("a")), "a").join(mult, "b").groupBy("a").agg(F.sum("mult").alias("n")).select(F.col("a").alias("u"), "n")

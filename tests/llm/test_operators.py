@@ -323,6 +323,22 @@ def test_nn_descent(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_nn_descent_audit_sees_rare_links(spark, monkeypatch):
+    r = np.random.default_rng(13)
+    x = r.normal(size=(3000, 64))
+    for k in range(0, 120, 2):  # isolated pairs, not far over the threshold
+        a = x[k] / np.linalg.norm(x[k])
+        b = r.normal(size=64)
+        b -= (b @ a) * a
+        x[k + 1] = 0.955 * a + np.sqrt(1 - 0.955**2) * b / np.linalg.norm(b)
+    monkeypatch.setattr(nn_descent, "_descend", lambda nodes, graph, kind: graph)  # a start that misses pairs
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {row.vec_id: (row.n_links, row.component_id) for row in nn_descent.near_duplicates(df).collect()}
+    links = (y := x / np.linalg.norm(x, axis=1, keepdims=True)) @ y.T >= 0.95
+    np.fill_diagonal(links, False)
+    assert links.sum() == 120 and got == {i: (int(links[i].sum()), i // 2 * 2 if i < 120 else i) for i in range(3000)}
+
+
 PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><nav>menu</nav><div class='ad'>buy</div>{}<footer>end</footer><!-- c --></body></html>"
 
 
