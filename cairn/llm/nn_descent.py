@@ -8,6 +8,8 @@ then more until it has seen SEEN links or every node; while the lists hold less
 rounds follow, and after MOST_TREES the audit goes through all nodes, whose links are then complete.  Links that an audit
 finds are added.  Lists that are saturated (all K neighbours over the threshold) grow to their whole linked component,
 compared block by block, with counts instead of pairs as results; the audit leaves links inside such a component out.
+A saturated list may hold nothing but its own family, so trees over the saturated nodes alone follow, in which a node's own
+component does not count, until such trees link no more components.
 
 Cosines are computed in double precision; none below the threshold links.  Null vectors, zero vectors and vectors with
 null or non-finite components link with nothing, and rows without vec_id are no one's neighbour; vectors of different lengths are not compared.  Repeated rows are
@@ -80,21 +82,23 @@ def _place(trees: range, depth: int, kind: str):
                     p = x @ r
                     leaf = ((p[:, :depth] > 0) @ (1 << np.arange(depth))).astype(np.int64) if depth else np.zeros(len(x), np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), t), pa.int32()), pa.array(np.full(len(x), size), pa.int32()), pa.array(leaf), pa.array(p[:, depth]), ids.take(pa.array(rows)), batch.column("x").take(pa.array(rows))],
-                        ["tree", "size", "leaf", "along", "node", "x"],
+                        [pa.array(np.full(len(x), t), pa.int32()), pa.array(np.full(len(x), size), pa.int32()), pa.array(leaf), pa.array(p[:, depth]), *(c.take(pa.array(rows)) for c in (ids, batch.column("component"), batch.column("x")))],
+                        ["tree", "size", "leaf", "along", "node", "component", "x"],
                     )
 
     return run
 
 
-def _nearest_rows(ids: np.ndarray, s: np.ndarray, k: int):
-    """(u, v, s) of each row's k greatest entries of s, itself apart."""
-    np.fill_diagonal(s, -2)
+def _nearest_rows(ids: np.ndarray, of: np.ndarray, s: np.ndarray, k: int):
+    """(u, v, s) of each row's k greatest entries of s, those of its own component apart."""
+    s[of[:, None] == of] = -2
     k = min(k, len(ids) - 1)
     if k <= 0:
         return None
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()
+    near = np.take_along_axis(s, top, 1).ravel()
+    ok = near > -2
+    return np.repeat(ids, k)[ok], ids[top].ravel()[ok], near[ok]
 
 
 def _table(parts: list) -> pa.RecordBatch:
@@ -106,23 +110,24 @@ def _leaves(kind: str):
     """Rows come sorted by tree, size, leaf and projection; runs of at most LEAF of one leaf are compared pairwise."""
 
     def run(batches):
-        key, ids, raw = None, [], []
+        key, ids, of, raw = None, [], [], []
 
         def close():
             if len(ids) > 1:
                 x = unit(raw, kind)
-                found = _nearest_rows(np.array(ids), x @ x.T, K)
+                found = _nearest_rows(np.array(ids), np.array(of), x @ x.T, K)
                 if found:
                     yield found
 
         for batch in batches:
             parts = []
-            cols = [batch.column(c).to_pylist() for c in ("tree", "size", "leaf", "node", "x")]
-            for t, n, leaf, node, x in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("tree", "size", "leaf", "node", "component", "x")]
+            for t, n, leaf, node, own, x in zip(*cols, strict=True):
                 if key != (t, n, leaf) or len(ids) >= LEAF:
                     parts += close()
-                    ids, raw, key = [], [], (t, n, leaf)
+                    ids, of, raw, key = [], [], [], (t, n, leaf)
                 ids.append(node)
+                of.append(own)
                 raw.append(x)
             if parts:
                 yield _table(parts)
@@ -186,8 +191,9 @@ def _descend(nodes: DataFrame, graph: DataFrame, kind: str) -> DataFrame:
 
 
 def _grow_trees(nodes: DataFrame, trees: range, count: int, kind: str) -> DataFrame:
+    """Lists of the K nearest nodes met in a leaf that are of another component."""
     depth = max(0, int(np.ceil(np.log2(max(count, 1) / (LEAF / 2)))))
-    placed = nodes.select("node", "x").mapInArrow(_place(trees, depth, kind), "tree int, size int, leaf long, along double, node long, x binary")
+    placed = nodes.select("node", "component", "x").mapInArrow(_place(trees, depth, kind), "tree int, size int, leaf long, along double, node long, component long, x binary")
     runs = placed.repartitionByRange("tree", "size", "leaf", "along", "node").sortWithinPartitions("tree", "size", "leaf", "along", "node")
     return runs.mapInArrow(_leaves(kind), "u long, v long, s double")
 
@@ -268,6 +274,22 @@ def _families(links: DataFrame, over: DataFrame) -> tuple[DataFrame, DataFrame]:
     return families, materialize(full.join(families, full.u == families.node).select("component").distinct(), "saturated")
 
 
+def _bridges(nodes: DataFrame, links: DataFrame, over: DataFrame, trees: int, kind: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """links (a, b) with those between saturated components, by trees from the given number on until these link no more of them; their families."""
+    found = links
+    while True:
+        families, saturated = _families(found, over)
+        whole = nodes.join(families.join(saturated, "component"), "node")
+        size = whole.agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).first()
+        if size["least"] == size["most"]:
+            return found, families, saturated
+        met = _grow_trees(whole, range(trees, trees + TREES), size["n"], kind).filter(F.col("s") >= threshold)
+        more = materialize(met.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "bridges")
+        if more.isEmpty():
+            return found, families, saturated
+        found, trees = materialize(found.union(more), "links"), trees + TREES
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id and kept of each vector."""
     small_batches(vectors.sparkSession)
@@ -281,8 +303,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     count, width = size["n"], size["width"] or 0
     near = F.col("s") >= threshold - 0.05
     trees, graph, links = 0, None, None
+    each = nodes.withColumn("component", F.col("node"))
     while True:
-        fresh = _grow_trees(nodes, range(trees, trees + TREES), count, kind)
+        fresh = _grow_trees(each, range(trees, trees + TREES), count, kind)
         fresh = fresh if graph is None else fresh.union(graph)
         graph = materialize(_nearest(fresh.groupBy("u", "v").agg(F.max("s").alias("s")), K).select("u", "v", "s"), "graph")
         trees += TREES
@@ -294,8 +317,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                 break
             have = now
         over = graph.filter(F.col("s") >= threshold)
-        links = materialize(over.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "links")
-        families, saturated = _families(links, over)
+        known = over.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
+        known = known if links is None else known.union(links)
+        # the numbers of these trees are far from those of the trees above
+        links, families, saturated = _bridges(nodes, materialize(known.distinct(), "links"), over, 1000 * trees, kind, threshold)
         seen, found, tables = _audit(nodes, families, saturated, links, count, width, kind, threshold, trees >= MOST_TREES)
         if found >= WANTED * seen or trees >= MOST_TREES:
             break

@@ -339,6 +339,20 @@ def test_nn_descent_audit_sees_rare_links(spark, monkeypatch):
     assert links.sum() == 120 and got == {i: (int(links[i].sum()), i // 2 * 2 if i < 120 else i) for i in range(3000)}
 
 
+def test_nn_descent_links_saturated_families(spark, monkeypatch):
+    r = np.random.default_rng(14)
+    a, b = np.eye(64)[0], np.eye(64)[1]
+    far = np.arccos(0.965)
+    middles = np.repeat([a, np.cos(far) * a + np.sin(far) * b], 20, axis=0)
+    x = middles + 0.002 * r.normal(size=(40, 64))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (y @ y.T >= 0.95).all() and (y[:20] @ y[20:].T).max() < (y[:20] @ y[:20].T).min()
+    monkeypatch.setattr(nn_descent, "SEEN", 0, raising=False)  # no audit
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [tuple(row) for row in nn_descent.near_duplicates(df).collect()]
+    assert sorted(got) == [(i, 39, 0, i == 0) for i in range(40)]
+
+
 PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><nav>menu</nav><div class='ad'>buy</div>{}<footer>end</footer><!-- c --></body></html>"
 
 
