@@ -2,7 +2,8 @@
 
 Lines (parts between \\n, in UTF-8 bytes) within `edits` insertions, deletions and replacements of each other are linked;
 of each component of links the first line in order of (doc_id, line number) stays, the others go.  Lines shorter than
-`least` bytes are never touched.
+`least` bytes, of which two edits may make another word, are linked to equal lines only, and with `short` alone: then
+every line with a word counts, and only blank lines are left out.  Without it they are never touched.
 
 A line of n bytes is cut into edits + 1 segments; a line within the distance keeps one of them whole, at a start that
 its length bounds.  So a line is indexed under the hashes of its segments, and probes, for each length it can meet, the
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, claim, connected_components, fresh, joined, link_families, load, materialize, mix, small_batches, spanning_forest, steps
+from .common import _SPACE, Rolling, claim, connected_components, fresh, joined, link_families, load, materialize, mix, small_batches, spanning_forest, steps
 
 EDITS = 2
 LEAST = 24
@@ -57,7 +58,7 @@ def line_nodes(hashes: Rolling, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return (mix(hashes(start, end) ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(1)).astype(np.int64)
 
 
-def _occurrences(least: int):
+def _occurrences(least: int, short: bool):
     def run(batches):
         claim("line_dedup")
         for batch in batches:
@@ -66,6 +67,9 @@ def _occurrences(least: int):
                 raw, off = joined(texts.slice(lo, hi - lo))
                 start, end, row, number = line_spans(raw, off)
                 long = end - start >= least
+                if short:
+                    ink = np.concatenate([[0], np.cumsum(~_SPACE[raw])])
+                    long |= ink[end] > ink[start]
                 node = line_nodes(Rolling(raw), start[long], end[long])
                 yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi][row[long]]), pa.array(number[long]), pa.array(node)], ["doc_id", "line", "node"])
 
@@ -328,12 +332,12 @@ def _verify(edits: int):
     return run
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, family_rows: int = FAMILY_ROWS) -> DataFrame:
-    """doc_id and the sorted numbers of the lines of it that go, for documents that lose any."""
+def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, family_rows: int = FAMILY_ROWS, short: bool = False) -> DataFrame:
+    """doc_id and the sorted numbers of the lines of it that go, for documents that lose any; short: copies of lines under `least` bytes go too."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    lines = materialize(docs.filter("doc_id is not null").mapInArrow(_occurrences(least), "doc_id long, line long, node long"), "lines")
+    lines = materialize(docs.filter("doc_id is not null").mapInArrow(_occurrences(least, short), "doc_id long, line long, node long"), "lines")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.mapInArrow(_deal(edits, least, buckets), "bucket int, key binary, node binary, sign binary")
     edges = dealt.groupBy("bucket").applyInArrow(_candidates(edits), "a long, b long")
@@ -347,10 +351,10 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, famil
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def _without_lines(docs: DataFrame, edits: int, least: int) -> tuple[DataFrame, str, str]:
+def _without_lines(docs: DataFrame, edits: int, least: int, short: bool) -> tuple[DataFrame, str, str]:
     """docs with the lines gone and two more columns, whose names are given: lines before, lines gone."""
     owner, gone, before, count = (fresh(docs, n) for n in ("_doc", "_gone", "n_lines", "n_removed"))
-    lost = removed_lines(docs, edits, least).toDF(owner, gone)
+    lost = removed_lines(docs, edits, least, short=short).toDF(owner, gone)
     j = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost[owner], "left")
     parts = F.split("text", "\n", -1)
     left = F.filter(parts, lambda x, i: ~F.array_contains(gone, i.cast("long")))
@@ -361,13 +365,13 @@ def _without_lines(docs: DataFrame, edits: int, least: int) -> tuple[DataFrame,
     return out, before, count
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """docs without the lines that go; every row and column stays, n_chars follows the text."""
-    return _without_lines(docs, edits, least)[0].select(docs.columns)
+    return _without_lines(docs, edits, least, short)[0].select(docs.columns)
 
 
 def op1_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of the kept text (null text: empty) of each document."""
-    d, before, count = _without_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), EDITS, LEAST)
+    d, before, count = _without_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), EDITS, LEAST, short=True)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.col(before)).cast("long")
     return d.select("doc_id", n.alias("n_lines"), F.col(count).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within two edits of an earlier line go; documents stay, if need be empty."""
-    return line_dedup.dedup_lines(docs)
+    """Lines within two edits of an earlier line go, short ones if they are equal; documents stay, if need be empty."""
+    return line_dedup.dedup_lines(docs, short=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

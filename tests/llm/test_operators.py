@@ -284,6 +284,20 @@ def test_line_dedup(spark):
         assert row.text == (None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (row.doc_id, j) not in gone))
 
 
+def test_line_dedup_removes_copies_of_short_lines(spark, tmp_path):
+    long = "A line of more than twenty-four bytes, number"
+    texts = ["Les.\n\n  \n日本\n" + long + " 1", "Lee.\nLes.\n\n  \nLes.", None, long + " 2\n日本\nAll rights reserved.", "All rights reserved.\n " + "\n}", "}"]
+    kept = ["Les.\n\n  \n日本\n" + long + " 1", "Lee.\n\n  ", None, "All rights reserved.", " \n}", ""]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    for row in line_dedup.op1_segment_edit_join(spark, str(tmp_path)).collect():
+        before, after = texts[row.doc_id], kept[row.doc_id]
+        n = 0 if before is None else before.count("\n") + 1
+        gone = {0: 0, 1: 2, 2: 0, 3: 2, 4: 1, 5: 1}[row.doc_id]
+        assert (row.n_lines, row.n_removed, row.kept_sha256) == (n, gone, hashlib.sha256((after or "").encode()).hexdigest())
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, documents(spark, texts), "").collect()} == dict(enumerate(kept))
+
+
 def test_suffix_dedup(spark):
     r = random.Random(9)
     base = ["".join(r.choice("abé cd") for _ in range(r.randint(90, 300))) for _ in range(6)]
