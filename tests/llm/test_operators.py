@@ -387,6 +387,24 @@ def test_html(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_borders_and_copies(spark):
+    page = lambda body: PAGE.format(f"<div>Shared top</div><p>{body}<p>Shared end")
+    bodies = [f"body number {i} in words of its own" for i in range(12)]
+    bodies += ["one long body that many pages of this host have alike"] * 9  # copies, next to each other by path
+    rows = [(i, f"http://a.org/x/{i:02d}", page(b)) for i, b in enumerate(bodies)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 7, 21):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = spark.createDataFrame(rows, "page_id long, url string, html string")
+            got = {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
+            assert got == dict(enumerate(bodies)), n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 def test_common_lines_is_longest():
     r = random.Random(11)
     for _ in range(300):
