@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -127,6 +128,38 @@ def test_pii(spark):
     assert "a.b@" not in pii.redact(documents(spark, texts)).filter("text like '%mail %'").head().text
 
 
+def test_pii_added_spans():
+    model = pii.model()
+    added = lambda t: [s[0] for s in model.spans(t)[1] if s[3] < 1]
+    # digits that fail Luhn's check are no card, whatever word stands before them
+    for lead in "de card visa order number the".split():
+        assert not added(f"{lead} 5927243074273351 and 4111 1111 1111 1112 or 4111  1111  1111  1112")
+    assert added("card 4111  1111  1111  1111 ok") == ["card"] and added("write jo (at) mail (dot) example") == ["email"]
+    # texts that the trees never saw: other seed, other words around
+    rows, y = pii.examples(3000, 77, "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt")
+    p = model.chance(model.trees.raw(np.array([pii.features(*r) for r in rows], float)))
+    for k in ("email", "card", "phone", "iban", "ipv6"):
+        of = np.array([r[1] == k for r in rows])
+        chosen, true = p[of] >= model.threshold[k], y[of] > 0
+        assert true[chosen].mean() > 0.97 and chosen[true].mean() > 0.85, k
+    # the word before an example says nothing about its format
+    leads = [re.findall(r"[^\W\d_]+", t[:a])[-1:] for t, _, a, _ in rows]
+    cued = np.array([bool(w) and w[0].lower() in pii._cue for w in leads])
+    fixed = np.array([r[1] in ("iban", "ipv6") for r in rows])
+    assert abs(cued[fixed & (y > 0)].mean() - cued[fixed & (y == 0)].mean()) < 0.1
+
+
+def test_pii_long_texts_take_time_in_proportion():
+    model = pii.model()
+    for unit in ("a", "1 ", "a(at)", "1.", "x(at)y.", "123 ", ":1", "+1 ", "a@"):
+        text = unit * (200_000 // len(unit))
+        began = time.perf_counter()
+        model.spans(text)
+        assert time.perf_counter() - began < 20, unit
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}10.0.0.1") == [("ip", 0, 5008)] and pii.base_spans(f"{zeros}.0.0.256") == []
+
+
 def test_boosting():
     r = np.random.default_rng(1)
     x = r.normal(size=(2000, 4))
