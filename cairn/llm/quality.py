@@ -3,8 +3,16 @@
 Everything on the path is a built-in DataFrame function.  One pass over the texts computes the features of each
 document inside its row (no shuffle of texts or words); KLL sketches of the features per (lang, source) merge into
 sketches per language and of everything, so that a thin group borrows the fences of the next wider level; the fence
-table joins back to the features.  Nulls: a null text has no words; null lang or source is a group of its own.
-Empty tables give empty results; extra columns are ignored; repeated rows are judged one by one.
+table joins back to the features.
+
+A feature's fence follows the tail of its group.  Its reach is the distance from the median to the highest quantile of
+RANKS that can be climbed to: each is at most GROWTH times as far as the one before plus the least reach, so that a tail
+of junk, which lies far from the rest, does not draw the fence out to itself.  The fence is twice the reach and the least
+reach away from the median.
+
+Nulls: a null text has no words; null lang or source is a group of its own.  Empty tables give empty results; extra
+columns are ignored; repeated rows and ids are judged one by one.  Features that tie with a fence are kept.  Very long texts
+are single rows: a task holds their words, and nothing else grows with them.
 """
 
 from __future__ import annotations
@@ -15,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import load, materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Feature, least spread that counts (so that a constant feature does not reject small deviations), use of the lower fence.
-METRICS = (("mean_word", 0.5, True), ("symbol_share", 0.01, False), ("dup_line_share", 0.1, False), ("repeat_share", 0.1, False))
+#: Feature, least reach (so that a constant feature does not reject small deviations), use of the lower fence.
+METRICS = (("mean_word", 0.25, True), ("symbol_share", 0.01, False), ("dup_line_share", 0.1, False), ("repeat_share", 0.05, False))
+RANKS = (0.75, 0.9, 0.95, 0.99)
+GROWTH = 4.0
 
 
 def _shift(x: Column, by: int) -> Column:
@@ -55,11 +65,22 @@ def base_features(docs: DataFrame) -> DataFrame:
     return d.select(*keep, F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda x, y: x + y), F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
-def quality_rules(docs: DataFrame, spread: float = 6.0, least_group: int = 50, k: int = 400) -> DataFrame:
+def fence(sketch: str, least: float, side: int) -> Column:
+    """The upper (side 1) or lower (-1) fence of a sketched feature."""
+    quantile = lambda x: F.kll_sketch_get_quantile_double(sketch, F.lit(x))
+    far = [side * (quantile(r if side > 0 else round(1 - r, 2)) - quantile(0.5)) for r in RANKS]
+    # reach after each rank, and whether every rank so far could be climbed to
+    reach, going = far[0], F.lit(True)
+    for d in far[1:]:
+        going = going & (d <= GROWTH * (reach + least))
+        reach = F.when(going, d).otherwise(reach)
+    return F.round(quantile(0.5) + side * (2 * reach + least), 2)
+
+
+def quality_rules(docs: DataFrame, least_group: int = 50, k: int = 400) -> DataFrame:
     """The base columns, base_failed and kept for each document.
 
-    A feature fails beyond `spread` times the quartile spread (median to quartile, or the least spread) outside its
-    quartile.  Groups under `least_group` documents use their language's fences, then those of all documents.
+    Groups under `least_group` documents use their language's fences, then those of all documents.
     """
     share = lambda x, y: F.col(x) / F.greatest(F.col(y), F.lit(1))
     f = materialize(base_features(docs), "quality")
@@ -74,9 +95,8 @@ def quality_rules(docs: DataFrame, spread: float = 6.0, least_group: int = 50, k
     def fences(level: DataFrame, keys: list[str], tag: str) -> DataFrame:
         cols = [F.kll_sketch_get_n_double(names[0]).alias(f"n{tag}")]
         for m, least, lower in METRICS:
-            q = [F.kll_sketch_get_quantile_double(m, F.lit(x)) for x in (0.25, 0.5, 0.75)]
-            cols.append(F.round(q[2] + spread * F.greatest(q[2] - q[1], F.lit(least)), 2).alias(f"{m}_hi{tag}"))
-            cols.append((F.round(q[0] - spread * F.greatest(q[1] - q[0], F.lit(least)), 2) if lower else F.lit(None).cast("double")).alias(f"{m}_lo{tag}"))
+            cols.append(fence(m, least, 1).alias(f"{m}_hi{tag}"))
+            cols.append((fence(m, least, -1) if lower else F.lit(None).cast("double")).alias(f"{m}_lo{tag}"))
         return level.filter(F.col(names[0]).isNotNull()).select(*keys, *cols)
 
     by_group = fences(level0, ["lang", "source"], "0").withColumnsRenamed({"lang": "g_lang", "source": "g_source"})

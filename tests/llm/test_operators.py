@@ -239,6 +239,44 @@ def test_quality_fences_follow_their_group(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 306))
 
 
+def test_quality_verdicts(spark):
+    """kept, against fences from exact quantiles (sketches of so few values are exact)."""
+    r = random.Random(16)
+    texts = [prose(r, r.randint(20, 90)) for _ in range(240)]
+    passage = prose(r, 12)
+    for i in range(0, 240, 29):
+        texts[i] += "\n" + "###" * r.randint(30, 40)
+    for i in (31, 121, 211):
+        texts[i] = "\n".join([prose(r, 60), passage, prose(r, 60), passage])
+    rows = [(i, t, "de" if i % 3 == 0 else "en", "web" if i % 5 else None) for i, t in enumerate(texts)]
+    got = {x.doc_id: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), least_group=30).collect()}
+
+    def measures(i):
+        x, lines = got[i], [s for s in texts[i].split("\n") if s.strip()]
+        return {"mean_word": x.word_chars / x.n_words, "symbol_share": x.n_symbols / x.word_chars, "dup_line_share": x.n_dup_lines / len(lines), "repeat_share": x.n_repeat_words / x.n_words}
+
+    def fence(values, least, side):
+        at = lambda q: float(np.quantile(values, q, method="inverted_cdf"))
+        reach = None
+        for rank in quality.RANKS:
+            d = side * (at(rank if side > 0 else round(1 - rank, 2)) - at(0.5))
+            if reach is not None and d > quality.GROWTH * (reach + least):
+                break
+            reach = d
+        return round(at(0.5) + side * (2 * reach + least), 2)
+
+    group = lambda i, depth: rows[i][2:4][:depth]
+    good = [i for i in got if not got[i].base_failed]
+    m = {i: measures(i) for i in got}
+    fired = collections.Counter()
+    for i in got:
+        like = next(s for s in ([j for j in good if group(j, d) == group(i, d)] for d in (2, 1, 0)) if len(s) >= 30)
+        out = [name for name, least, lower in quality.METRICS if m[i][name] > fence([m[j][name] for j in like], least, 1) or lower and m[i][name] < fence([m[j][name] for j in like], least, -1)]
+        fired.update(out if not got[i].base_failed else [])
+        assert got[i].kept == (not got[i].base_failed and not out), (i, out)
+    assert fired["symbol_share"] and fired["repeat_share"] and sum(got[i].kept for i in got) > 190
+
+
 def components(pairs, nodes):
     parent = {n: n for n in nodes}
 
