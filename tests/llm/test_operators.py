@@ -243,11 +243,11 @@ def test_quality_verdicts(spark):
     """kept, against fences from exact quantiles (sketches of so few values are exact)."""
     r = random.Random(16)
     texts = [prose(r, r.randint(20, 90)) for _ in range(240)]
-    passage = prose(r, 12)
+    passage = prose(r, 17)
     for i in range(0, 240, 29):
         texts[i] += "\n" + "###" * r.randint(30, 40)
     for i in (31, 121, 211):
-        texts[i] = "\n".join([prose(r, 60), passage, prose(r, 60), passage])
+        texts[i] = "\n".join([prose(r, 45), passage, prose(r, 45), passage])
     rows = [(i, t, "de" if i % 3 == 0 else "en", "web" if i % 5 else None) for i, t in enumerate(texts)]
     got = {x.doc_id: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), least_group=30).collect()}
 
