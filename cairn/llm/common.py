@@ -51,12 +51,25 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where none is set (tests, local mode)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The shared folder named by spark.checkpoint.dir; a folder of our own only where none is set in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
+
+
+#: Scratch tables that still exist, and their sessions.
+_written: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _delete_all() -> None:
+    """At the end of the session, remove what is left."""
+    for path, spark in list(_written.items()):
+        _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    """At the end of the session, remove a written table."""
     with contextlib.suppress(Exception):  # the cluster may be gone by then
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -67,8 +80,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cairn-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Remove the files of a frame that materialize returned, when nothing will read it again."""
+    path = getattr(df, "_scratch", None)
+    if path and _written.pop(path, None):
+        _delete(df.sparkSession, path)
+
+
+def buckets_for(spark: SparkSession, entries: int, each: int) -> int:
+    """Buckets that hold about `each` entries, and four a shuffle partition at least: their number follows the input."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // each))
 
 
 def steps(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
@@ -260,6 +287,7 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         large = moved.union(pulled).filter("a <> b")
         nxt = materialize(shrink(large.distinct()), tag)
         done = nxt.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty() and nxt.join(nxt.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
+        release(now)
         now = nxt
         if done:
             break

@@ -13,8 +13,8 @@ Candidates are joined to families, the families' lines come from the texts throu
 banded bit-parallel edit distance decides between lines that are not connected yet.  Equal lines are one node.
 
 A null text is kept as it is, and so is a row without doc_id, whose lines count for nothing.  Rows that repeat a doc_id
-count as one document whose lines stay or go alike.  Extra columns pass through, whatever their names; an empty table
-gives an empty result.
+count as one document whose lines stay or go alike.  An empty text has one empty line, which stays; a very long text or line
+is one row of a step.  Extra columns pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, Rolling, claim, connected_components, fresh, joined, link_families, load, materialize, mix, small_batches, spanning_forest, steps
+from .common import _SPACE, Rolling, buckets_for, claim, connected_components, fresh, joined, link_families, load, materialize, mix, small_batches, spanning_forest, steps
 
 EDITS = 2
 LEAST = 24
 #: Bits of the Bloom filter that picks the families' lines out of the texts.
 FILTER_BITS = 1 << 23
+#: Entries and probes that a bucket holds, about.
+BUCKET = 1 << 21
 #: Posting lists up to this length are compared position by position, longer ones seed by seed.
 SHORT = 24
 #: Lines of a family that one task verifies; larger families are dealt to blocks.
@@ -338,16 +340,25 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, famil
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     lines = materialize(docs.filter("doc_id is not null").mapInArrow(_occurrences(least, short), "doc_id long, line long, node long"), "lines")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = lines.count()
+    probes = sum(1 for _ in substrings(np.array([least]), edits))
+    buckets = buckets_for(spark, probes * total, BUCKET)
     dealt = docs.mapInArrow(_deal(edits, least, buckets), "bucket int, key binary, node binary, sign binary")
     edges = dealt.groupBy("bucket").applyInArrow(_candidates(edits), "a long, b long")
     families = connected_components(edges, "line-families")
     texts = docs.mapInArrow(_family_lines(bloom_of(families), least), "node long, line binary")
     whole = texts.join(families, "node").groupBy("node", "component").agg(F.min("line").alias("line"))
     exact = link_families(whole.withColumnRenamed("component", "family"), families.withColumnRenamed("component", "family"), _verify(edits), family_rows, "line-links")
-    placed = lines.join(exact, "node", "left").select("doc_id", "line", F.coalesce("component", "node").alias("c"))
-    firsts = placed.groupBy("c").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "first")
-    gone = placed.join(firsts, "c").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
+    # one row a node before anything is joined, so that a line's occurrences never meet in one task
+    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = materialize(nodes.join(exact, "node", "left").filter("n > 1 or component is not null").select("node", "first", "n", F.coalesce("component", "node").alias("c")), "line-nodes")
+    firsts = nodes.groupBy("c").agg(F.min("first").alias("first"), F.sum("n").alias("_n")).filter("_n > 1").select("c", "first")
+    marks = materialize(nodes.drop("first").join(firsts, "c").select("node", "first", "n"), "line-marks")
+    # a node with a thousandth of all occurrences or more: there are at most a thousand such nodes, which go to the occurrences
+    hot = marks.filter(F.col("n") * 1000 >= total).select("node", "first")
+    rest = marks.filter(F.col("n") * 1000 < total).select("node", "first")
+    placed = lines.join(F.broadcast(hot), "node").union(lines.join(F.broadcast(hot.select("node")), "node", "left_anti").join(rest, "node"))
+    gone = placed.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
@@ -365,9 +376,15 @@ def _without_lines(docs: DataFrame, edits: int, least: int, short: bool) -> tupl
     return out, before, count
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
-    """docs without the lines that go; every row and column stays, n_chars follows the text."""
-    return _without_lines(docs, edits, least, short)[0].select(docs.columns)
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False, emptied: bool = True) -> DataFrame:
+    """docs without the lines that go; columns stay, n_chars follows the text.
+
+    Every row stays, or without `emptied` all but those that lost lines and have no word left: what they held is in others.
+    """
+    out, _, count = _without_lines(docs, edits, least, short)
+    if not emptied:
+        out = out.filter((F.col(count) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(docs.columns)
 
 
 def op1_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,16 @@ A document's set is its distinct 5-word shingles.  The join never compares all p
    counters are called common.  Any such choice is correct, it only orders the shingles: rare before common, then by hash.
 2. Documents that can reach the threshold share a shingle among the first |set| - ceil(t |set|) + 1 in that order.
    These go, many in one row, to buckets by hash; identical sets are one node, and copies merge before they move.  A
-   bucket partitions its nodes into similar ones: sharing a shingle, sizes within t, and at most FAR of 128 one-bit
-   min-hashes apart (a pair at similarity 0.8 is farther with a chance under 1e-9).
+   bucket partitions its nodes into similar ones: sharing a shingle, sizes within t, and one-bit min-hashes of 128 bins
+   not farther apart than links allow.  A token changes the bit of its own bin alone, so two sets differ in at most as many
+   bits as tokens, and linked sets of a and b tokens in at most (1 - t) / (1 + t) of a + b: no link is lost.
 3. Each candidate component becomes a token-group matrix: groups of similar documents with the union of their shingles.
    A query document meets a group only if its overlap with the union can reach t |set|; only such groups are opened,
    and exact intersections decide, except between documents that are connected already.
 
 Components follow from links; a lost executor repeats its tasks alone.  Hashes have 64 bits.  Null, empty or white texts
-are linked with nothing; rows without doc_id link only as exact copies; repeated rows are copies; extra columns are ignored; an empty table gives an empty result.
+are linked with nothing; rows without doc_id link only as exact copies; repeated rows and ids are copies; of ties the smallest
+doc_id stands for its component; a very long text is one row of a step; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, connected_components, link_families, load, materialize, mix, shingles, small_batches, spanning_forest, steps
+from .common import buckets_for, claim, connected_components, link_families, load, materialize, mix, shingles, small_batches, spanning_forest, steps
 
 SKETCH = 1 << 20
 CHUNK = 4096
 #: Leading shingles that a task deals out at a time.
 DEAL = 600_000
-FAR = 38
+#: Leading shingles that a bucket holds, about.
+BUCKET = 1 << 19
 #: Posting lists up to this length are compared position by position, longer ones seed by seed.
 SHORT = 24
 #: Documents of a family that one task verifies; larger families are dealt to blocks.
@@ -145,7 +148,7 @@ def _deal(common: np.ndarray, buckets: int, percent: int):
 
 def _near(size_a, size_b, signs_a, signs_b, percent: int) -> np.ndarray:
     fits = 100 * np.minimum(size_a, size_b).astype(np.int64) >= percent * np.maximum(size_a, size_b).astype(np.int64)
-    return fits & (np.bitwise_count(signs_a ^ signs_b).sum(-1) <= FAR)
+    return fits & ((100 + percent) * np.bitwise_count(signs_a ^ signs_b).sum(-1, dtype=np.int64) <= (100 - percent) * (size_a.astype(np.int64) + size_b))
 
 
 def _candidates(percent: int):
@@ -288,7 +291,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, family_rows: int = FA
     survey = materialize(docs.mapInArrow(_survey, "doc_id long, n long, digest long, chunk int, counts binary"), "survey")
     common = common_shingles(survey)
     rows = survey.filter("chunk is null").select("doc_id", "n", "digest")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    leading = rows.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
+    buckets = buckets_for(spark, int(leading), BUCKET)
     dealt = docs.mapInArrow(_deal(common, buckets, percent), "bucket int, node binary, size binary, signs binary, count binary, tokens binary")
     edges = dealt.groupBy("bucket").applyInArrow(_candidates(percent), "a long, b long")
     families = connected_components(edges, "families")

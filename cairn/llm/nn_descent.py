@@ -6,18 +6,21 @@ neighbours and the nodes it is a neighbour of, and compares them pairwise; lists
 they hardly add pairs near the threshold.  An audit compares nodes, chosen by hash, with all nodes, AUDIT of them first and
 then more until it has seen SEEN links or every node; while the lists hold less than WANTED of its links, more trees and
 rounds follow, and after MOST_TREES the audit goes through all nodes, whose links are then complete.  Links that an audit
-finds are added.  Lists that are saturated (all K neighbours over the threshold) grow to their whole linked component,
-compared block by block, with counts instead of pairs as results; the audit leaves links inside such a component out.
+finds are added.  Then every linked component is compared whole, block by block, with counts instead of pairs as results:
+links that the lists miss inside a component count too, and lists that are saturated (all K neighbours over the threshold)
+grow to all of it; the audit leaves links inside a saturated component out.
 A saturated list may hold nothing but its own family, so trees over the saturated nodes alone follow, in which a node's own
 component does not count, until such trees link no more components.
 
 Cosines are computed in double precision; none below the threshold links.  Null vectors, zero vectors and vectors with
 null or non-finite components link with nothing, and rows without vec_id are no one's neighbour; vectors of different lengths are not compared.  Repeated rows are
-copies; extra columns are ignored; an empty table gives an empty result.
+copies, and so are repeated ids; equally near neighbours enter lists by smallest id; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialize, small_batches
+from .common import connected_components, load, materialize, release, small_batches
 
 K = 8
 LEAF = 256
@@ -245,6 +248,40 @@ def _audit(nodes: DataFrame, families: DataFrame, saturated: DataFrame, links: D
     return seen, found, tables
 
 
+def _count_components(kind: str, threshold: float):
+    """Links inside a component, by multiplicity, of each of its nodes; rows come sorted by component."""
+
+    def run(batches):
+        component, ids, mult, raw = None, [], [], []
+
+        def close():
+            if ids:
+                links = (x := unit(raw, kind)) @ x.T >= threshold
+                np.fill_diagonal(links, False)
+                yield np.array(ids), links @ np.array(mult)
+
+        for batch in batches:
+            parts = []
+            for c, w, m, x in zip(*(batch.column(n).to_pylist() for n in ("component", "node", "mult", "x")), strict=True):
+                if c != component:
+                    parts += close()
+                    component, ids, mult, raw = c, [], [], []
+                ids.append(w)
+                mult.append(m)
+                raw.append(x)
+            if parts:
+                yield _counts(parts)
+        rest = list(close())
+        if rest:
+            yield _counts(rest)
+
+    return run
+
+
+def _counts(parts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], ["u", "n"])
+
+
 def _count_blocks(kind: str, threshold: float):
     """Links between two blocks of one component, as counts (by multiplicity) per node."""
 
@@ -290,8 +327,11 @@ def _bridges(nodes: DataFrame, links: DataFrame, over: DataFrame, trees: int, ki
         found, trees = materialize(found.union(more), "links"), trees + TREES
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """vec_id, n_links (other vectors linked directly), component_id and kept of each vector."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, report: Callable[[int, int], None] | None = None) -> DataFrame:
+    """vec_id, n_links (other vectors linked directly), component_id and kept of each vector.
+
+    report is called after each audit with the links that it saw and those among them that the lists held.
+    """
     small_batches(vectors.sparkSession)
     element = dict(vectors.dtypes)["embedding"]
     kind = "<f4" if "float" in element else "<f8"
@@ -311,7 +351,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         trees += TREES
         have = graph.filter(near).count()
         for _ in range(ROUNDS):
-            graph = _descend(nodes, graph, kind)
+            before, graph = graph, _descend(nodes, graph, kind)
+            if graph is not before:
+                release(before)
             now = graph.filter(near).count()
             if now - have <= 0.001 * max(now, 1):
                 break
@@ -322,26 +364,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         # the numbers of these trees are far from those of the trees above
         links, families, saturated = _bridges(nodes, materialize(known.distinct(), "links"), over, 1000 * trees, kind, threshold)
         seen, found, tables = _audit(nodes, families, saturated, links, count, width, kind, threshold, trees >= MOST_TREES)
+        if report:
+            report(seen, found)
         if found >= WANTED * seen or trees >= MOST_TREES:
             break
     if found < seen:
         links = materialize(reduce(DataFrame.union, tables, links).distinct(), "links")
         families, saturated = _families(links, over)
-    rest = families.join(saturated, "component", "left_anti").select("node", "component")
-    # unsaturated components: links are in the lists of either end, or an audit's
-    ends = links.union(links.select("b", "a"))
-    mult = nodes.select(F.col("node").alias("b"), "mult")
-    few = ends.join(rest.select(F.col("node").alias("a")), "a").join(mult, "b").groupBy("a").agg(F.sum("mult").alias("n")).select(F.col("a").alias("u"), "n")
-    # saturated components: all pairs of blocks
-    whole = families.join(saturated, "component").join(nodes, "node")
-    place = whole.select("component", "node", "mult", "x", (F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1).alias("at"))
-    place = place.withColumn("block", F.floor(F.col("at") / BLOCK).cast("int"))
-    blocks = place.groupBy("component").agg((F.max("block") + 1).alias("blocks"))
-    dealt = place.join(blocks, "component").select(
-        "component", "node", "mult", "x", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    ).select("component", "node", "mult", "x", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"))
+    # links are counted inside components, all pairs of them: those of a block at once, larger ones block by block
+    sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    whole = families.join(sizes, "component").join(nodes, "node").select("component", "node", "mult", "x", "blocks")
+    one = whole.filter("blocks = 1").repartition("component").sortWithinPartitions("component", "node")
+    counts = one.select("component", "node", "mult", "x").mapInArrow(_count_components(kind, threshold), "u long, n long")
+    dealt = whole.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("component", "node", "mult", "x", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("component", "node", "mult", "x", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"))
     many = dealt.groupBy("component", "i", "j").applyInArrow(_count_blocks(kind, threshold), "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
-    counts = few.union(many)
+    counts = counts.union(many)
     table = nodes.select("key", "node", "mult").join(families, "node", "left").join(counts, F.col("node") == F.col("u"), "left").select(
         "key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id")
     )

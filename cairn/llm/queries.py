@@ -23,7 +23,6 @@ def queries() -> dict:
     found = {}
     for name, module in NAMES.items():
         found[name] = getattr(import_module(f"{__package__}.{module}"), name)
-    found["pipeline"] = import_module("corpus_pipeline").run
     return found
 
 

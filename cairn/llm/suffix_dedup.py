@@ -14,7 +14,8 @@ an earlier start).  Texts count as UTF-8 bytes; strings lie within one document
   overlapping ranks, and the few bytes after them.  Memory is that of one bucket's contexts, never of the whole text.
 
 Nulls and texts shorter than `width` lose nothing.  Of rows that repeat a doc_id none is earlier than the other; what
-one of them loses, the other loses at the same place.  A null doc_id counts as -1.  Extra columns are ignored; an empty table gives an empty result.
+one of them loses, the other loses at the same place.  A null doc_id counts as -1.  A very long text is one row of a step.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, joined, load, mix, small_batches, steps
+from .common import Rolling, buckets_for, joined, load, mix, small_batches, steps
 
 WIDTH = 100
 GRAM = 32
 STEP = 4
+#: Bytes of text that a bucket stands for, about.
+BUCKET_BYTES = 1 << 24
 #: Bits of the filter of repeated anchors, over all buckets.
 FILTER_BITS = 1 << 26
 #: Anchors, and bytes of contexts, that a task holds before it deals them out.
@@ -286,8 +289,9 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    region = FILTER_BITS // buckets // 8 * 8
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets_for(spark, size, BUCKET_BYTES)
+    region = max(FILTER_BITS // buckets // 8 * 8, 8)
     parts = docs.select("text").mapInArrow(_anchor_hashes(width, buckets), "bucket int, keys binary").groupBy("bucket").applyInArrow(_repeated(region), "bucket int, bits binary")
     known = {r["bucket"]: bytes(r["bits"]) for r in parts.collect()}  # FILTER_BITS bits, however many anchors there are
     run, schema = _contexts(width, buckets, region, known)

@@ -7,7 +7,8 @@ is weighed by its window: neighbours that are hits too, quotation marks around i
 turn a document's sums into a score.
 
 Null or empty texts score like texts without hits; without labels every score is 0.  Whole texts are read, no text is
-shuffled.  Repeated rows and extra columns pass through; an empty table gives an empty result.
+shuffled; a very long one is a row of its own.  Of labels that share a hash the smaller doc_id comes first into the sample.
+Repeated rows, rows without doc_id and extra columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
@@ -27,8 +28,6 @@ from .common import claim, fresh, load, materialize, small_batches, steps
 FOLDS = 5
 #: Labelled rows that the lexicon and the trees are fitted on, at most.
 SAMPLE = 8000
-#: Terms that the lexicon may hold.
-TERMS = 4000
 #: Chunks that each worker remembers.
 REMEMBERED = 400_000
 #: Chunks on either side of a hit that make its window.
@@ -163,13 +162,12 @@ def features(text: str, memory: Memory) -> list[float]:
     return [plain, quoted, dense, by[1], by[2], by[3], by[4], by[5], plain / len(chunks), math.log1p(len(chunks))]
 
 
-def beyond_chance(tox: int, non: int, share: float, trials: int) -> bool:
+def beyond_chance(tox: Column, non: Column, share: float, trials: int) -> Column:
     """Whether so large a toxic share has a chance below 1 in 100 among so many terms (Chernoff's bound on the binomial tail)."""
-    n, p = tox + non, tox / (tox + non)
-    if p <= share or tox < 3:
-        return False
-    d = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)
-    return -n * d + math.log(trials) < math.log(0.01)
+    n = tox + non
+    p = tox / n
+    d = p * F.log(p / share) + F.when(non > 0, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    return (tox >= 3) & (p > share) & (n * d > math.log(trials / 0.01))
 
 
 class ToxicityModel:
@@ -188,13 +186,13 @@ class ToxicityModel:
 
 
 def _count_terms(batches):
-    """(term, whole, toxic documents, others) of the sampled rows, whole words and beginnings of 4 to 9 letters."""
+    """(term, whole, toxic documents, others) of the sampled rows, whole words and stems: beginnings of 4 to 9 letters, which longer beginnings have too."""
     claim("toxicity")
     counts: dict[tuple[str, bool], list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             words = set(_letters.findall((text or "").lower()))
-            terms = {(w, True) for w in words if 3 <= len(w) <= 24} | {(w[:k], False) for w in words for k in range(4, 10) if len(w) > k}
+            terms = {(w, True) for w in words if len(w) >= 2} | {(w[:k], False) for w in words for k in range(4, 10) if len(w) > k}
             for t in terms:
                 counts.setdefault(t, [0, 0])[0 if toxic else 1] += 1
     if counts:
@@ -217,8 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     counted = train.mapInArrow(_count_terms, "term string, whole boolean, tox long, non long").groupBy("term", "whole").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non"))
     counted = materialize(counted, "terms")
     trials = counted.count()
-    found = counted.filter("tox >= 3 and tox > 2 * non").orderBy(F.desc("tox"), "term", "whole").limit(TERMS).collect()
-    found = [r for r in found if beyond_chance(r["tox"], r["non"], share, trials)]
+    # terms of at most SAMPLE texts, and only those that are toxic beyond chance
+    found = counted.filter("tox > 2 * non").filter(beyond_chance(F.col("tox"), F.col("non"), share, trials)).orderBy(F.desc("tox"), "term", "whole").collect()
     words = {r["term"]: r["tox"] for r in found if r["whole"]}
     stems: dict[str, int] = {}
     for r in sorted((r for r in found if not r["whole"]), key=lambda r: (len(r["term"]), r["term"])):
@@ -227,8 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         # a stem stands for many words, none of them for most of it
         if main < 0.6 * r["tox"] and r["non"] * 4 <= r["tox"] and not any(t.startswith(s) for s in stems):
             stems[t] = 4 if r["non"] * 20 <= r["tox"] else 5
-    words = sorted(w for w in words if not any(w.startswith(s) for s in stems))
-    model = ToxicityModel(words, stems, None)
+    model = ToxicityModel(sorted(words), stems, None)
 
     def measure(batches):
         memory = model.memory()
@@ -243,8 +240,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
-    """docs with the score as one more column; every row and column stays."""
-    names = docs.columns
+    """docs with the score as one more column, of another name if docs have one of that name; every row and column stays."""
+    names, column = docs.columns, fresh(docs, column)
 
     def run(batches):
         claim("toxicity")
