@@ -1,6 +1,8 @@
 """A corpus pipeline of five operators; every stage works on all that the stage before it kept.
 
 Stages take (spark, docs, sf_dir).  All but the last return the columns of documents; the last returns packed pieces.
+Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns have the results that each stage's
+operator states; a document that is empty from the start passes through and is packed as its end token.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within two edits of an earlier line go, short ones if they are equal; documents stay, if need be empty."""
-    return line_dedup.dedup_lines(docs, short=True)
+    """Lines within two edits of an earlier line go, short ones if they are equal; documents of which no word is left go whole."""
+    return line_dedup.dedup_lines(docs, short=True, emptied=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
