@@ -6,9 +6,10 @@ A document's set is its distinct 5-word shingles.  The join never compares all p
    counters are called common.  Any such choice is correct, it only orders the shingles: rare before common, then by hash.
 2. Documents that can reach the threshold share a shingle among the first |set| - ceil(t |set|) + 1 in that order.
    These go, many in one row, to buckets by hash; identical sets are one node, and copies merge before they move.  A
-   bucket partitions its nodes into similar ones: sharing a shingle, sizes within t, and one-bit min-hashes of 128 bins
-   not farther apart than links allow.  A token changes the bit of its own bin alone, so two sets differ in at most as many
-   bits as tokens, and linked sets of a and b tokens in at most (1 - t) / (1 + t) of a + b: no link is lost.
+   bucket partitions its nodes into similar ones: sharing a shingle, sizes within t, and parity sketches not farther apart
+   than links allow.  A token turns one bit of a sketch, so two sets differ in at most as many bits as tokens, and linked
+   sets of a and b tokens in at most (1 - t) / (1 + t) of a + b: no link is lost.  Sketches have 128 to 512 bits, by the
+   size of the set; a longer one folds to half its length for comparison with a shorter one.
 3. Each candidate component becomes a token-group matrix: groups of similar documents with the union of their shingles.
    A query document meets a group only if its overlap with the union can reach t |set|; only such groups are opened,
    and exact intersections decide, except between documents that are connected already.
@@ -92,10 +93,39 @@ def common_shingles(survey: DataFrame) -> np.ndarray:
     return np.packbits(counts > mean + 6 * np.sqrt(mean) + 64)
 
 
-def _one_bit_minhashes(tokens: np.ndarray) -> bytes:
-    least = np.zeros(128, np.uint64)
-    least[(tokens[::-1] & np.uint64(127)).astype(np.int64)] = tokens[::-1]
-    return np.packbits((mix(least) >> np.uint64(63)).astype(np.uint8)).tobytes()
+def _words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketch of a set of n tokens: 2, 4 or 8."""
+    return np.where(n <= 182, 2, np.where(n <= 365, 4, 8))
+
+
+def _parities(tokens: np.ndarray) -> bytes:
+    bits = 64 * int(_words(np.int64(len(tokens))))
+    count = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(count & 1, bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sizes and parity sketches of sets, and which of them can be linked."""
+
+    def __init__(self, size: np.ndarray, raw: bytes, percent: int):
+        self.size, self.percent, self.words = size.astype(np.int64), percent, _words(size)
+        self.full, self.half = np.zeros((2, len(size), 8), np.uint64)
+        flat, end = np.frombuffer(raw, np.uint64), np.cumsum(self.words)
+        for k in (2, 4, 8):
+            rows = np.flatnonzero(self.words == k)
+            self.full[rows, :k] = flat[(end[rows] - k)[:, None] + np.arange(k)]
+            self.half[rows, : k // 2] = self.full[rows, : k // 2] ^ self.full[rows, k // 2 : k]
+
+    def near(self, x, y) -> np.ndarray:
+        """Whether the sets x and y (row numbers) may be linked."""
+        a, b = self.size[x], self.size[y]
+        ok = 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+        # sizes that fit differ by less than a factor of two for t over a half; sketches farther apart are not compared
+        u = np.where((self.words[x] > self.words[y])[..., None], self.half[x], self.full[x])
+        v = np.where((self.words[y] > self.words[x])[..., None], self.half[y], self.full[y])
+        apart = np.bitwise_count(u ^ v).sum(-1, dtype=np.int64)
+        far = (100 + self.percent) * apart > (100 - self.percent) * (a + b)
+        return ok & ~(far & (2 * np.minimum(self.words[x], self.words[y]) >= np.maximum(self.words[x], self.words[y])))
 
 
 def _deal(common: np.ndarray, buckets: int, percent: int):
@@ -107,12 +137,12 @@ def _deal(common: np.ndarray, buckets: int, percent: int):
         bucket = (tokens % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((owner, bucket))
         tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-        node_, size_, signs_ = np.array(node, np.int64), np.array(size, np.int32), np.frombuffer(b"".join(signs), np.uint64).reshape(-1, 2)
+        node_, size_ = np.array(node, np.int64), np.array(size, np.int32)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         cols = [[] for _ in range(6)]
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
             own, count = np.unique(owner[a:b], return_counts=True)
-            for c, v in zip(cols, (int(bucket[a]), node_[own].tobytes(), size_[own].tobytes(), signs_[own].tobytes(), count.astype(np.uint32).tobytes(), tokens[a:b].tobytes()), strict=True):
+            for c, v in zip(cols, (int(bucket[a]), node_[own].tobytes(), size_[own].tobytes(), b"".join([signs[i] for i in own.tolist()]), count.astype(np.uint32).tobytes(), tokens[a:b].tobytes()), strict=True):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "node", "size", "signs", "count", "tokens"])
 
@@ -134,7 +164,7 @@ def _deal(common: np.ndarray, buckets: int, percent: int):
                     first = tokens[~late][:p]
                     if len(first) < p:
                         first = np.concatenate([first, tokens[late][: p - len(first)]])
-                    for c, v in zip(held, (d, n, _one_bit_minhashes(tokens), first), strict=True):
+                    for c, v in zip(held, (d, n, _parities(tokens), first), strict=True):
                         c.append(v)
                     total += p
                 if total > DEAL:
@@ -146,11 +176,6 @@ def _deal(common: np.ndarray, buckets: int, percent: int):
     return run
 
 
-def _near(size_a, size_b, signs_a, signs_b, percent: int) -> np.ndarray:
-    fits = 100 * np.minimum(size_a, size_b).astype(np.int64) >= percent * np.maximum(size_a, size_b).astype(np.int64)
-    return fits & ((100 + percent) * np.bitwise_count(signs_a ^ signs_b).sum(-1, dtype=np.int64) <= (100 - percent) * (size_a.astype(np.int64) + size_b))
-
-
 def _candidates(percent: int):
     def run(table: pa.Table) -> pa.Table:
         def joined(name: str, kind) -> np.ndarray:
@@ -158,7 +183,8 @@ def _candidates(percent: int):
 
         count = joined("count", np.uint32)
         rep = np.repeat(np.arange(len(count)), count)
-        node, size, signs, tokens = joined("node", np.int64), joined("size", np.int32), joined("signs", np.uint64).reshape(-1, 2), joined("tokens", np.uint64)
+        node, tokens = joined("node", np.int64), joined("tokens", np.uint64)
+        sketches = Sketches(joined("size", np.int32), b"".join(table.column("signs").to_pylist()), percent)
         order = np.lexsort((node[rep], tokens))
         tokens, who = tokens[order], rep[order]
         own = node[who]
@@ -177,7 +203,7 @@ def _candidates(percent: int):
             if not len(i):
                 break
             x, y = who[i], who[i + d]
-            ok = _near(size[x], size[y], signs[x], signs[y], percent)
+            ok = sketches.near(x, y)
             a.append(own[i[ok]])
             b.append(own[i[ok] + d])
         for s, k in zip(starts[length > SHORT], length[length > SHORT], strict=True):
@@ -186,7 +212,7 @@ def _candidates(percent: int):
                 todo, left = [left[0]], left[1:]
                 while todo and len(left):
                     x = todo.pop()
-                    ok = _near(size[x], size[left], signs[x], signs[left], percent)
+                    ok = sketches.near(x, left)
                     if ok.any():
                         a.append(np.full(int(ok.sum()), node[x]))
                         b.append(node[left[ok]])
@@ -206,14 +232,15 @@ def _candidates(percent: int):
 class TokenGroupMatrix:
     """Groups of similar sets as columns of a bit matrix, tokens as rows; a column is the union of its group's tokens.
 
-    A set that is put is linked to the sets it reaches; within a group, sets that are connected count as one.
+    Columns come in pages of 64 that hold the rows of their own tokens alone, so the matrix grows with the tokens of its
+    groups.  A set that is put is linked to the sets it reaches; within a group, sets that are connected count as one.
     """
 
     def __init__(self, percent: int, tokens: int):
         self.percent = percent
-        self.sets: list[np.ndarray] = []  # of token numbers
+        self.sets: list[np.ndarray] = []  # of token numbers, ascending
         self.parent: list[int] = []
-        self.bits = np.zeros((tokens, 1), np.uint8)
+        self.pages: list[tuple[np.ndarray, np.ndarray]] = []  # token numbers, ascending, and their bits
         self.groups: list[dict[int, list[int]]] = []  # root -> members
         self.mark = np.zeros(tokens, bool)
 
@@ -223,11 +250,31 @@ class TokenGroupMatrix:
             x = self.parent[x]
         return x
 
+    def _bounds(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each group's union has."""
+        out = [np.zeros(0, np.int64)]
+        for own, bits in self.pages:
+            at = np.searchsorted(own, tokens)
+            at = at[own[np.minimum(at, len(own) - 1)] == tokens]
+            out.append(np.unpackbits(bits[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64))
+        return np.concatenate(out)[: len(self.groups)]
+
+    def _enter(self, tokens: np.ndarray, group: int) -> None:
+        bit = np.uint64(1) << np.uint64(group & 63)
+        if group >> 6 == len(self.pages):
+            self.pages.append((tokens, np.full(len(tokens), bit)))
+            return
+        own, bits = self.pages[group >> 6]
+        at = np.searchsorted(own, tokens)
+        have = own[np.minimum(at, len(own) - 1)] == tokens
+        bits[at[have]] |= bit
+        self.pages[group >> 6] = (np.insert(own, at[~have], tokens[~have]), np.insert(bits, at[~have], bit))
+
     def put(self, tokens: np.ndarray) -> None:
         me, n = len(self.sets), len(tokens)
         self.sets.append(tokens)
         self.parent.append(me)
-        bounds = np.unpackbits(self.bits[tokens], axis=1).sum(0, dtype=np.int64)[: len(self.groups)]
+        bounds = self._bounds(tokens)
         self.mark[tokens] = True
         for g in np.flatnonzero(100 * bounds >= self.percent * n):  # no other group has a member that shares enough
             self.groups[g] = self._open(self.groups[g], me, n)
@@ -236,9 +283,7 @@ class TokenGroupMatrix:
         if home < 0 or 2 * bounds[home] < n:
             home = len(self.groups)
             self.groups.append({})
-            if home == 8 * self.bits.shape[1]:
-                self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)], axis=1)
-        self.bits[tokens, home >> 3] |= 128 >> (home & 7)
+        self._enter(tokens, home)
         self.groups[home].setdefault(self.find(me), []).append(me)
 
     def _open(self, group: dict[int, list[int]], me: int, n: int) -> dict[int, list[int]]:
