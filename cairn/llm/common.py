@@ -296,27 +296,30 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     )
 
 
-def link_families(rows: DataFrame, members: DataFrame, verify: Callable[[pa.Table], pa.Table], limit: int, tag: str) -> DataFrame:
-    """(node, component): exact components inside candidate families, no task holding more than about 2 * limit rows.
+def link_families(rows: DataFrame, members: DataFrame, verify: Callable[[pa.Table], pa.Table], limit: int, tag: str, heavy: int = 0) -> DataFrame:
+    """(node, component): exact components inside candidate families, no task holding more than about 2 * limit rows
+    (nor, with heavy, of more than about 2 * heavy in weight, but for a single row).
 
-    rows: family, node and what `verify` reads; members: family and node alone, for counting; verify maps a table of rows to (node, component), component being a node
+    rows: family, node and what `verify` reads; members: family, node and, with heavy, weight, for counting; verify maps a table of rows to (node, component), component being a node
     of the table.  Families over the limit are dealt to blocks.  Blocks are verified alone, then one row of each
     component found is compared with those of the other blocks, which connects a family of real copies; only families
     that are still apart compare every pair of blocks.
     """
     out = "node long, component long"
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    load_ = F.count(F.lit(1)) / limit
+    if heavy:
+        load_ = F.greatest(load_, F.sum("weight") / heavy)
+    sizes = members.groupBy("family").agg(F.ceil(load_).cast("int").alias("_blocks")).filter("_blocks > 1")
     if sizes.isEmpty():
         return materialize(rows.groupBy("family").applyInArrow(verify, out), tag)
     rows = materialize(rows, f"{tag}-rows")
-    blocks = F.coalesce(F.ceil(F.col("_n") / limit), F.lit(1)).cast("int")
-    dealt = rows.join(sizes, "family", "left").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).drop("_n")
+    dealt = rows.join(sizes, "family", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     first = materialize(dealt.groupBy("family", "_block").applyInArrow(verify, out), f"{tag}-blocks")
     large = dealt.filter("_blocks > 1")
     # one row of each component of each block
     chosen = large.join(first.select(F.col("component").alias("node")).distinct(), "node", "left_semi").select(rows.columns)
     if chosen.count() < large.count():
-        second = link_families(chosen, chosen.select("family", "node"), verify, limit, tag)
+        second = link_families(chosen, members.join(chosen.select("node"), "node", "left_semi"), verify, limit, tag, heavy)
     else:  # nothing was linked inside a block, so choosing would not make the families smaller
         second = rows.sparkSession.createDataFrame([], out)
     label = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component"))

@@ -10,6 +10,10 @@ A document's set is its distinct 5-word shingles.  The join never compares all p
    than links allow.  A token turns one bit of a sketch, so two sets differ in at most as many bits as tokens, and linked
    sets of a and b tokens in at most (1 - t) / (1 + t) of a + b: no link is lost.  Sketches have 128 to 512 bits, by the
    size of the set; a longer one folds to half its length for comparison with a shorter one.
+   Sets of more than PART tokens go in parts: the range of hashes is cut into 4, 16, 64 ... of them.  Two sets that are
+   linked have a part that both fill and that alone would link them (else their differences would add up to too much), so
+   parts are dealt as if they were sets, and long documents are told apart as well as short ones.  A set goes out in the
+   parts of its own size and in those of the greatest size that it can be linked with.
 3. Each candidate component becomes a token-group matrix: groups of similar documents with the union of their shingles.
    A query document meets a group only if its overlap with the union can reach t |set|; only such groups are opened,
    and exact intersections decide, except between documents that are connected already.
@@ -32,12 +36,16 @@ SKETCH = 1 << 20
 CHUNK = 4096
 #: Leading shingles that a task deals out at a time.
 DEAL = 600_000
+#: Tokens up to which a set goes out whole.
+PART = 512
 #: Leading shingles that a bucket holds, about.
 BUCKET = 1 << 19
 #: Posting lists up to this length are compared position by position, longer ones seed by seed.
 SHORT = 24
 #: Documents of a family that one task verifies; larger families are dealt to blocks.
 FAMILY_ROWS = 8192
+#: Shingles of a family that one task verifies.
+FAMILY_TOKENS = 4_000_000
 
 
 def _digest(tokens: np.ndarray) -> int:
@@ -104,6 +112,23 @@ def _parities(tokens: np.ndarray) -> bytes:
     return np.packbits(count & 1, bitorder="little").tobytes()
 
 
+def _depth(n: int) -> int:
+    """How often the range of hashes is cut into four for a set of n tokens."""
+    k = 0
+    while n > PART << 2 * k:
+        k += 1
+    return k
+
+
+def _parts(tokens: np.ndarray, percent: int):
+    """(salt of the depth, tokens) of the parts that a set goes out in."""
+    for k in range(_depth(len(tokens)), _depth(100 * len(tokens) // percent) + 1):
+        edges = np.arange(1, 4**k, dtype=np.uint64) << np.uint64(64 - 2 * k) if k else np.zeros(0, np.uint64)
+        for part in np.split(tokens, np.searchsorted(tokens, edges)):
+            if len(part):
+                yield np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF), part
+
+
 class Sketches:
     """Sizes and parity sketches of sets, and which of them can be linked."""
 
@@ -154,19 +179,20 @@ def _deal(common: np.ndarray, buckets: int, percent: int):
             texts = batch.column("text")
             for lo, hi in steps(texts):
                 for _, tokens in shingles(texts.slice(lo, hi - lo)):
-                    n = len(tokens)
-                    d = _digest(tokens) if n else None
-                    if not n or d in seen:
+                    d = _digest(tokens) if len(tokens) else None
+                    if d is None or d in seen:
                         continue
                     seen.add(d)
-                    p = n - (percent * n + 99) // 100 + 1
-                    late = is_common[(tokens >> shift).astype(np.int64)]
-                    first = tokens[~late][:p]
-                    if len(first) < p:
-                        first = np.concatenate([first, tokens[late][: p - len(first)]])
-                    for c, v in zip(held, (d, n, _parities(tokens), first), strict=True):
-                        c.append(v)
-                    total += p
+                    for salt, part in _parts(tokens, percent):
+                        n = len(part)
+                        p = n - (percent * n + 99) // 100 + 1
+                        late = is_common[(part >> shift).astype(np.int64)]
+                        first = part[~late][:p]
+                        if len(first) < p:
+                            first = np.concatenate([first, part[late][: p - len(first)]])
+                        for c, v in zip(held, (d, n, _parities(part), first ^ salt), strict=True):
+                            c.append(v)
+                        total += p
                 if total > DEAL:
                     yield row_batch(*held)
                     held, seen, total = ([], [], [], []), set(), 0
@@ -341,9 +367,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, family_rows: int = FA
     dealt = docs.mapInArrow(_deal(common, buckets, percent), "bucket int, node binary, size binary, signs binary, count binary, tokens binary")
     edges = dealt.groupBy("bucket").applyInArrow(_candidates(percent), "a long, b long")
     families = connected_components(edges, "families")
-    first = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    wanted = families.join(first, families.node == first.digest).select("doc_id", "node", F.col("component").alias("family"))
-    exact = link_families(docs.join(wanted, "doc_id").select("family", "node", "text"), wanted.select("family", "node"), _verify(percent), family_rows, "links")
+    first = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("weight"))
+    wanted = families.join(first, families.node == first.digest).select("doc_id", "node", F.col("component").alias("family"), "weight")
+    exact = link_families(docs.join(wanted, "doc_id").select("family", "node", "text"), wanted.select("family", "node", "weight"), _verify(percent), family_rows, "links", FAMILY_TOKENS)
     nodes = first.join(exact, first.digest == exact.node, "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("class"))
     least = nodes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     known = nodes.join(least, "class").select("digest", "component_id")

@@ -293,6 +293,11 @@ def components(pairs, nodes):
 
 def test_ngram_join(spark):
     texts = [*sample(), *("Some SHARED passage of more than five words " + prose(random.Random(k), 30) for k in range(40))]
+    r = random.Random(15)
+    for n in (480, 560, 700, 1900, 2300):  # sets that go out in parts, with copies on both sides of the threshold
+        base = [f"w{r.randrange(5000)}" for _ in range(n)]
+        for share in (0.0, 0.01, 0.02, 0.022, 0.025, 0.03, 0.05):
+            texts.append(" ".join(f"x{r.randrange(5000)}" if r.random() < share else w for w in base[: n - r.randrange(1 + n // 20)]))
     sets = {}
     for i, t in enumerate(texts):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
