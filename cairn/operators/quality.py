@@ -104,7 +104,7 @@ def stale_context(gold: dict[str, DataFrame]) -> DataFrame:
         expected = gold[view].select(hk, F.col(ctx).alias("expected_context_hk"))
         j = gold[fact].select(hk, F.col(ctx).alias("gold_context_hk")).join(expected, hk).filter("gold_context_hk <> expected_context_hk")
         out.append(j.select(F.lit(e).alias("entity_type"), F.col(hk).alias("entity_hk"), "gold_context_hk", "expected_context_hk"))
-    return out[0].unionAll(out[1])
+    return reduce(DataFrame.unionByName, out)
 
 
 #: Grain of each mart.
@@ -157,6 +157,11 @@ def failing(tests: dict[str, Callable[[], DataFrame]]) -> list[str]:
     return [name for name, t in tests.items() if not t().isEmpty()]
 
 
+def deepest(history: DataFrame, key: str) -> DataFrame:
+    """The most versions that any key has, and the number of keys."""
+    return history.groupBy(key).agg(n().alias("versions")).agg(F.max("versions").alias("most_versions"), n().alias("keys"))
+
+
 def audit_vault(vault: dict[str, DataFrame], reconciliation: DataFrame | None = None, versions: int = 2) -> list[str]:
     """What the vault breaks: event identity, history depth, recorded deletes, the latest reconciliation."""
     broken = []
@@ -164,8 +169,7 @@ def audit_vault(vault: dict[str, DataFrame], reconciliation: DataFrame | None =
     if not unique(tracked, "source_event_id").isEmpty():
         broken.append("event identity is not unique")
     for table, key in (("sat_customer_details", "customer_hk"), ("sat_loan_application_details", "loan_application_hk"), ("sat_loan_details", "loan_hk")):
-        deepest = vault[table].groupBy(key).agg(n().alias("versions")).agg(F.max("versions")).first()[0]
-        if (deepest or 0) < versions:
+        if (deepest(vault[table], key).first()["most_versions"] or 0) < versions:
             broken.append(f"{table} has no row of {versions} versions")
     if tracked.filter("is_deleted").isEmpty():
         broken.append("no delete is recorded")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import hash_key
-from cairn.operators.vault import TABLES, build_quarantine, current_counts
+from cairn.operators.vault import TABLES, current_counts, reason_codes
 from cairn.sources.schemas import ENTITIES
 
 Rule = dict
@@ -48,12 +48,18 @@ def noop_rules(manifest: Mapping) -> list[Rule]:
     return control_rules(manifest, 0, 0, 0, 0)
 
 
+def classify(flat: DataFrame) -> DataFrame:
+    """One row: events, distinct coordinates, and how many events are accepted and how many quarantined."""
+    bad = F.size(reason_codes()) > 0
+    return flat.agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct(F.struct("kafka_topic", "kafka_partition", "kafka_offset")).alias("coordinates"), F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("quarantined")
+    )
+
+
 def bounded_rules(flat: DataFrame, candidates: Mapping[str, DataFrame], targets: Mapping[str, DataFrame | None], manifest: Mapping) -> list[Rule]:
     """Rules of a bounded batch: control counts from one aggregate, then one anti-join a table."""
-    bad = build_quarantine(flat).select("bronze_object_key").distinct()
-    counted = flat.agg(F.count(F.lit(1)).alias("events"), F.count_distinct(F.struct("kafka_topic", "kafka_partition", "kafka_offset")).alias("coordinates")).first()
-    accepted = flat.join(bad, "bronze_object_key", "left_anti").count()
-    out = control_rules(manifest, counted["events"], counted["coordinates"], accepted, bad.count())
+    counted = classify(flat).first()
+    out = control_rules(manifest, *(counted[c] for c in ("events", "coordinates", "accepted", "quarantined")))
     parts = [missing_keys(df, targets.get(t), TABLES[t][0]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("t"), "n") for t, df in candidates.items()]
     found = {r["t"]: r["n"] for r in reduce(DataFrame.unionAll, parts).collect()} if parts else {}
     return out + [rule("BOUNDED_BATCH_TO_TARGET_MISSING_KEYS", t, 0, found[t]) for t in candidates]

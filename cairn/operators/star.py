@@ -126,25 +126,31 @@ def _ids(vault: dict[str, DataFrame], entity: str) -> DataFrame:
     return vault[f"hub_{entity}"].select(f"{entity}_hk", f"{entity}_id")
 
 
-def build_star(vault: dict[str, DataFrame], as_of: Column | None = None) -> dict[str, DataFrame]:
-    as_of = F.current_date() if as_of is None else as_of
+def _keyed_dimensions(vault: dict[str, DataFrame], as_of: Column) -> dict[str, DataFrame]:
+    """The dimensions by entity, each with its hash key in front."""
     customer = _ids(vault, "customer").join(_latest(vault, "customer"), "customer_hk").select(
-        "customer_id", F.concat_ws(" ", "first_name", "last_name").alias("customer_full_name"), "email", "phone_number", "date_of_birth",
+        "customer_hk", "customer_id", F.concat_ws(" ", "first_name", "last_name").alias("customer_full_name"), "email", "phone_number", "date_of_birth",
         month_years("date_of_birth", as_of).alias("age"), "city", "country", "customer_segment", "created_at",
     )
-    account = vault["link_customer_account"].select("account_hk", "customer_hk").join(_ids(vault, "account"), "account_hk").join(_ids(vault, "customer"), "customer_hk").join(_latest(vault, "account"), "account_hk").select(
-        "account_id", "customer_id", "account_type", "account_status", "card_network", "masked_card_number", "credit_limit", "opened_at"
+    owners = vault["link_customer_account"].select("account_hk", "customer_hk").join(_ids(vault, "customer"), "customer_hk")
+    account = _ids(vault, "account").join(owners, "account_hk").join(_latest(vault, "account"), "account_hk").select(
+        "account_hk", "account_id", "customer_id", "account_type", "account_status", "card_network", "masked_card_number", "credit_limit", "opened_at"
     )
     merchant = _ids(vault, "merchant").join(_latest(vault, "merchant"), "merchant_hk").select(
-        "merchant_id", "merchant_name", "merchant_category", "city", "country", "risk_score", risk_band("risk_score").alias("risk_band"), "onboarded_at"
+        "merchant_hk", "merchant_id", "merchant_name", "merchant_category", "city", "country", "risk_score", risk_band("risk_score").alias("risk_band"), "onboarded_at"
     )
-    fact = vault["link_transaction_context"].select("transaction_hk", "customer_hk", "account_hk", "merchant_hk")
-    for e in ("transaction", "customer", "account", "merchant"):
-        fact = fact.join(_ids(vault, e), f"{e}_hk")
+    return {"customer": customer, "account": account, "merchant": merchant}
+
+
+def build_star(vault: dict[str, DataFrame], as_of: Column | None = None) -> dict[str, DataFrame]:
+    """Dimensions, and the transactions whose customer, account and merchant are in them."""
+    dims = _keyed_dimensions(vault, F.current_date() if as_of is None else as_of)
+    fact = vault["link_transaction_context"].select("transaction_hk", "customer_hk", "account_hk", "merchant_hk").join(_ids(vault, "transaction"), "transaction_hk").join(_latest(vault, "transaction"), "transaction_hk")
+    for e, dim in dims.items():  # a dimension gives the id and keeps out what it lacks in one join
+        fact = fact.join(dim.select(f"{e}_hk", f"{e}_id"), f"{e}_hk")
     when = F.col("transaction_timestamp")
-    fact = fact.join(_latest(vault, "transaction"), "transaction_hk").select(
+    fact = fact.select(
         "transaction_id", "customer_id", "account_id", "merchant_id", "amount", "currency", "transaction_status", "transaction_channel", "transaction_timestamp",
         F.to_date(when).alias("transaction_date"), F.hour(when).alias("transaction_hour"), F.date_format(when, "yyyy-MM").alias("transaction_month"),
     )
-    fact = conform(fact, (customer, ["customer_id"]), (account, ["account_id"]), (merchant, ["merchant_id"]))
-    return {"dim_customer": customer, "dim_account": account, "dim_merchant": merchant, "fact_transactions": fact}
+    return {**{f"dim_{e}": dim.drop(f"{e}_hk") for e, dim in dims.items()}, "fact_transactions": fact}

@@ -163,13 +163,18 @@ def quarantine_reason() -> Column:
     )
 
 
-def build_quarantine(flat: DataFrame) -> DataFrame:
-    """Events that break the contract, and live images without their business key; one pass, one reason a row."""
+def reason_codes() -> Column:
+    """Why an event is no use, as a list: breaches of the contract, and live images without their business key."""
     missing = F.coalesce(*[
         F.when((F.col("source_schema") == e.schema) & (F.col("source_table") == e.table) & F.col("operation").isin(*LIVE) & F.col("after").isNotNull() & ~valid_key(image_field(e.key)), F.lit(f"MISSING_BUSINESS_KEY_{e.namespace}"))
         for e in ENTITIES.values()
     ])
-    both = flat.withColumn("reason_code", F.explode(F.array_compact(F.array(quarantine_reason(), missing))))
+    return F.array_compact(F.array(quarantine_reason(), missing))
+
+
+def build_quarantine(flat: DataFrame) -> DataFrame:
+    """One pass over the events, one row a reason."""
+    both = flat.withColumn("reason_code", F.explode(reason_codes()))
     identity = F.coalesce("event_id", "payload_sha256", "bronze_object_key", F.sha2("raw_payload", 256))
     out = both.select(
         F.sha2(F.concat_ws(DELIMITER, identity, "reason_code"), 256).alias("quarantine_hk"), "reason_code", "source_event_id", "source_schema", "source_table",
@@ -186,17 +191,23 @@ def after_persisted(staged: DataFrame, target: DataFrame | None, entity_key: str
     """
     if target is None:
         return staged
+    ranked = against_persisted(staged, target, entity_key, state, batch_id)
+    if not ranked.filter("_late").isEmpty():
+        raise OutOfOrder(f"a source position of {name} is not after the persisted one")
+    return ranked.filter("_changed").select(staged.columns)
+
+
+def against_persisted(staged: DataFrame, target: DataFrame, entity_key: str, state: str, batch_id: str) -> DataFrame:
+    """staged with `_late` (an entity's first row that is not after its persisted position) and `_changed` (not a repeat of the persisted state)."""
     last = top_by(target.filter(F.col("load_batch_id") != batch_id), [entity_key], latest_state()).select(
         entity_key, F.col(state).alias("_state"), F.col("source_lsn").alias("_lsn"), F.col("kafka_topic").alias("_topic"), F.col("kafka_partition").alias("_partition"), F.col("kafka_offset").alias("_offset")
     )
     from pyspark.sql import Window
 
     ranked = staged.withColumn("_rank", F.row_number().over(Window.partitionBy(entity_key).orderBy(*source_history()))).join(last, entity_key, "left")
-    late = ranked.filter((F.col("_rank") == 1) & F.col("_state").isNotNull() & not_after())
-    if not late.isEmpty():
-        raise OutOfOrder(f"a source position of {name} is not after the persisted one")
+    late = (F.col("_rank") == 1) & F.col("_state").isNotNull() & not_after()
     changed = (F.col("_rank") > 1) | F.col("_state").isNull() | ~F.col(state).eqNullSafe(F.col("_state"))
-    return ranked.filter(changed).select(staged.columns)
+    return ranked.withColumns({"_late": F.coalesce(late, F.lit(False)), "_changed": changed})
 
 
 def not_after() -> Column:

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterable, Mapping
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from cairn.plans import manifest as M
 
@@ -36,15 +37,33 @@ create table if not exists task_evidence (batch_id text, attempt_number integer,
 create table if not exists audit_result (batch_id text, attempt_number integer, rule_id text, object_name text, expected_value integer, observed_value integer, difference integer, status text check (status in ('PASS', 'FAIL')), evidence_sha256 text, primary key (batch_id, attempt_number, rule_id, object_name));
 create table if not exists state_change (batch_id text, from_state text, to_state text, at text);
 create table if not exists published_interval (batch_id text references batch, topic text, partition integer, watermark_low integer, watermark_high integer, primary key (batch_id, topic, partition), check (watermark_high > watermark_low));
-create view if not exists batch_history as
-select b.batch_id, b.state, b.manifest_sha256, b.created_at, b.published_at,
- (select count(*) from batch_partition p where p.batch_id = b.batch_id) as partition_count,
- (select coalesce(sum(p.interval_object_count), 0) from batch_partition p where p.batch_id = b.batch_id) as interval_object_count,
- (select coalesce(sum(p.interval_input_bytes), 0) from batch_partition p where p.batch_id = b.batch_id) as interval_input_bytes,
- (select coalesce(max(a.attempt_number), 0) from attempt a where a.batch_id = b.batch_id) as latest_attempt_number
-from batch b;
 """
-TABLES = ("batch", "batch_partition", "batch_object", "source_transaction", "attempt", "task_evidence", "audit_result", "state_change", "published_interval", "batch_history")
+TABLES = ("batch", "batch_partition", "batch_object", "source_transaction", "attempt", "task_evidence", "audit_result", "state_change", "published_interval")
+
+
+def batch_history(batches: DataFrame, partitions: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Each batch with the size of its sealed interval and its latest attempt, zeros where it has none."""
+    sealed = partitions.groupBy("batch_id").agg(F.count(F.lit(1)).alias("partition_count"), F.sum("interval_object_count").alias("interval_object_count"), F.sum("interval_input_bytes").alias("interval_input_bytes"))
+    tried = attempts.groupBy("batch_id").agg(F.max("attempt_number").alias("latest_attempt_number"))
+    counts = [c for df in (sealed, tried) for c in df.columns if c != "batch_id"]
+    return batches.join(sealed, "batch_id", "left").join(tried, "batch_id", "left").fillna(0, counts)
+
+
+def overlapping(intervals: DataFrame) -> DataFrame:
+    """(topic, partition, batch_id, other_batch_id) of half-open intervals (low, high] that share an offset, each pair once.
+
+    An interval that overlaps any other overlaps one that starts at or before it, so a running maximum of the ends tells
+    in one sort which rows overlap at all; only those are joined.
+    """
+    before = Window.partitionBy("topic", "partition").orderBy("watermark_low", "watermark_high", "batch_id")
+    after = Window.partitionBy("topic", "partition").orderBy("watermark_low", "watermark_high", "batch_id").rowsBetween(1, Window.unboundedFollowing)
+    reach = F.max("watermark_high").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    suspect = intervals.withColumns({"_reach": reach, "_next": F.min("watermark_low").over(after)})
+    suspect = suspect.filter((F.col("_reach") > F.col("watermark_low")) | (F.col("_next") < F.col("watermark_high")))
+    a, b = suspect.alias("a"), suspect.alias("b")
+    same = (F.col("a.topic") == F.col("b.topic")) & (F.col("a.partition") == F.col("b.partition")) & (F.col("a.batch_id") < F.col("b.batch_id"))
+    shared = (F.col("a.watermark_low") < F.col("b.watermark_high")) & (F.col("b.watermark_low") < F.col("a.watermark_high"))
+    return a.join(b, same & shared).select("a.topic", "a.partition", "a.batch_id", F.col("b.batch_id").alias("other_batch_id"))
 
 
 class ControlError(RuntimeError):
@@ -206,11 +225,13 @@ class ControlPlane:
             self._move(batch_id, "SUPERSEDED")
 
     def frame(self, spark: SparkSession, table: str) -> DataFrame:
-        """A control table as a DataFrame, to join with vault and marts."""
+        """A control table or the view batch_history as a DataFrame, to join with vault and marts."""
+        if table == "batch_history":
+            batches = self.frame(spark, "batch").select("batch_id", "state", "manifest_sha256", "created_at", "published_at")
+            return batch_history(batches, self.frame(spark, "batch_partition"), self.frame(spark, "attempt"))
         if table not in TABLES:
             raise ControlError(f"unknown table {table}")
         info = self.db.execute(f"pragma table_info({table})").fetchall()
         kinds = {"INTEGER": "long"}
-        counts = ("partition_count", "interval_object_count", "interval_input_bytes", "latest_attempt_number")
-        schema = ", ".join(f"{c['name']} {'long' if c['name'] in counts else kinds.get(c['type'].upper(), 'string')}" for c in info)
+        schema = ", ".join(f"{c['name']} {kinds.get(c['type'].upper(), 'string')}" for c in info)
         return spark.createDataFrame([tuple(r) for r in self.db.execute(f"select * from {table}")], schema)

@@ -1,8 +1,9 @@
 """A table store on plain Parquet: appended versions, a commit log, insert-only merges, history, time travel.
 
 `<table>/v=<n>-<id>/` holds the files of version n and `<table>/_log/<n>.json` commits them: readers list the log only, so a
-failed append is invisible.  The log goes through Hadoop's file system API and works on any store Spark writes to; its
-files are created, never replaced, and a lost race surfaces as CommitConflict.
+failed append is invisible.  The log goes through Hadoop's file system API; its files appear whole and are never replaced,
+and a lost race surfaces as CommitConflict.  Every SUMMARY versions a file repeats the whole log, so that a reader opens
+few files however long the history is.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+#: Log entries after which a summary of all is written.
+SUMMARY = 16
+
+
 class CommitConflict(RuntimeError):
     """Another writer committed this version first."""
 
@@ -58,21 +64,38 @@ class Files:
             stream.close()
 
     def create(self, path: str, content: bytes) -> bool:
-        """Write a new file; False if it exists already."""
+        """A new file that appears whole or not at all; False if it exists already.
+
+        The content is written aside first.  On a local disk a hard link, which fails if its name is taken, puts it in
+        place; elsewhere a rename does, which HDFS refuses onto an existing file.  On an object store, where a rename
+        replaces, one writer a table is assumed.
+        """
         fs, p = self._at(path)
         if fs.exists(p):
             return False
-        try:
-            out = fs.create(p, False)
-        except Exception as e:
-            if "FileAlreadyExists" in str(e) or "already exists" in str(e):
-                return False
-            raise
+        aside = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
         try:
             out.write(bytearray(content))
         finally:
             out.close()
-        return True
+        try:
+            if fs.getScheme() != "file":
+                return fs.rename(aside, p)
+            at = lambda x: self.jvm.java.io.File(x.toUri().getPath()).toPath()
+            try:
+                self.jvm.java.nio.file.Files.createLink(at(p), at(aside))
+            except Py4JJavaError as e:
+                if "FileAlreadyExistsException" in str(e):
+                    return False
+                raise
+            return True
+        finally:
+            fs.delete(aside, False)
+
+    def rename(self, path: str, to: str) -> bool:
+        fs, p = self._at(path)
+        return fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(to))
 
     def delete(self, path: str) -> bool:
         fs, p = self._at(path)
@@ -86,12 +109,18 @@ class TableStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _log(self, table: str) -> list[str]:
+        return [n for n in self.files.names(f"{self.path(table)}/_log") if n.endswith((".json", ".all"))]
+
     def all_versions(self, table: str) -> list[dict]:
-        log = f"{self.path(table)}/_log"
-        return [json.loads(self.files.read(f"{log}/{n}")) for n in self.files.names(log) if n.endswith(".json")]
+        """Log entries in order: those of the last summary (`<n>.all`) in one read, later ones one by one."""
+        log, names = f"{self.path(table)}/_log", self._log(table)
+        summary = next((n for n in reversed(names) if n.endswith(".all")), None)
+        done = json.loads(self.files.read(f"{log}/{summary}")) if summary else []
+        return done + [json.loads(self.files.read(f"{log}/{n}")) for n in names if n.endswith(".json") and int(n[:-5]) >= len(done)]
 
     def exists(self, table: str) -> bool:
-        return bool(self.files.names(f"{self.path(table)}/_log"))
+        return bool(self._log(table))
 
     def _parts(self, table: str, version: int | None = None) -> tuple[list[str], StructType]:
         """Committed folders since the last overwrite, and the schema."""
@@ -108,16 +137,31 @@ class TableStore:
     def read_or_none(self, table: str) -> DataFrame | None:
         return self.read(table) if self.exists(table) else None
 
+    def _folder(self, version: int) -> str:
+        return f"v={version}-{uuid.uuid4().hex}"  # a writer that loses the race leaves the winner's files alone
+
+    def _enter(self, table: str, versions: list[dict], folder: str, schema: StructType, operation: str, batch_id: str | None, rows: int, candidates: int) -> None:
+        """Commit a written folder as the next version."""
+        version = len(versions)
+        entry = {"version": version, "folder": folder, "operation": operation, "rows": rows, "candidates": candidates, "batch_id": batch_id, "at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "schema": schema.jsonValue()}
+        log = f"{self.path(table)}/_log"
+        if not self.files.create(f"{log}/{version:020d}.json", json.dumps(entry, sort_keys=True).encode()):
+            self.files.delete(f"{self.path(table)}/{folder}")
+            raise CommitConflict(f"version {version} of {table} exists")
+        if version % SUMMARY == SUMMARY - 1:
+            self.files.create(f"{log}/{version:020d}.all", json.dumps([*versions, entry], sort_keys=True).encode())
+
     def _commit(self, table: str, df: DataFrame, operation: str, batch_id: str | None, candidates: int | None = None) -> int:
-        version = len(self.all_versions(table))
-        folder = f"v={version}-{uuid.uuid4().hex}"  # a writer that loses the race leaves the winner's files alone
+        """Write a frame once as the next version; of a merge that finds nothing new, nothing stays."""
+        versions = self.all_versions(table)
+        folder = self._folder(len(versions))
         path = f"{self.path(table)}/{folder}"
         df.write.parquet(path)
-        rows = self.spark.read.parquet(path).count()  # from the files' footers
-        entry = {"version": version, "folder": folder, "operation": operation, "rows": rows, "candidates": rows if candidates is None else candidates, "batch_id": batch_id, "at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "schema": df.schema.jsonValue()}
-        if not self.files.create(f"{self.path(table)}/_log/{version:020d}.json", json.dumps(entry, sort_keys=True).encode()):
+        rows = self.spark.read.schema(df.schema).parquet(path).count()  # from the files' footers
+        if operation == "MERGE" and not rows:
             self.files.delete(path)
-            raise CommitConflict(f"version {version} of {table} exists")
+            return 0
+        self._enter(table, versions, folder, df.schema, operation, batch_id, rows, rows if candidates is None else candidates)
         return rows
 
     def overwrite(self, table: str, df: DataFrame, batch_id: str | None = None) -> int:
@@ -129,26 +173,30 @@ class TableStore:
     def merge_new(self, table: str, df: DataFrame, key: str, batch_id: str | None = None) -> MergeResult:
         """Insert the rows whose key the table lacks; nothing is updated or deleted.
 
-        The candidates are written once, as the new version's staging, so neither counting nor the anti-join repeats
-        their plan.
+        The candidates are written once: as the table's first version, or aside, so that neither counting nor the one
+        anti-join repeats their plan.
         """
-        stage = f"{self.path(table)}/_staged-{uuid.uuid4().hex}"
+        versions = self.all_versions(table)
+        folder = self._folder(0) if not versions else f"_staged-{uuid.uuid4().hex}"
+        stage = f"{self.path(table)}/{folder}"
         df.write.parquet(stage)
         staged = self.spark.read.schema(df.schema).parquet(stage)
         candidates = staged.count()
+        kept = False
         try:
             if not candidates:
                 return MergeResult(0, 0)
             if not staged.groupBy(key).count().filter("count > 1").isEmpty():
                 raise DuplicateKey(f"candidates of {table} repeat {key}")
-            if self.exists(table):
-                fresh = staged.join(self.read(table).select(key), key, "left_anti").select(df.columns)
-                if fresh.isEmpty():
-                    return MergeResult(candidates, 0)
-                return MergeResult(candidates, self._commit(table, fresh, "MERGE", batch_id, candidates))
-            return MergeResult(candidates, self._commit(table, staged, "CREATE", batch_id, candidates))
+            if not versions:
+                kept = True
+                self._enter(table, versions, folder, df.schema, "CREATE", batch_id, candidates, candidates)
+                return MergeResult(candidates, candidates)
+            fresh = staged.join(self.read(table).select(key), key, "left_anti").select(df.columns)
+            return MergeResult(candidates, self._commit(table, fresh, "MERGE", batch_id, candidates))
         finally:
-            self.files.delete(stage)
+            if not kept:
+                self.files.delete(stage)
 
     def history(self, table: str) -> DataFrame:
         rows = [(e["version"], e["operation"], e["rows"], e["candidates"], e["batch_id"], e["at"]) for e in self.all_versions(table)]

@@ -7,10 +7,15 @@ identity raises.  With a checkpointed query that is effectively once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
+
+from cairn.sources.schemas import ENVELOPE
 
 #: What a broker's source gives: raw key and value with their coordinates.
 RECORD = "topic string, partition int, offset bigint, timestamp timestamp, key binary, value binary"
@@ -18,6 +23,10 @@ _VALUE = "struct<before:string, after:string, op:string, source:struct<schema:st
 _SAFE = r"^[A-Za-z0-9_.-]+$"
 
 
+#: An envelope and the folders that it lands in.
+LANDED = StructType([*ENVELOPE.fields, *(StructField(c, StringType()) for c in ("schema", "table", "event_date"))])
+
+
 class InvalidRecord(RuntimeError):
     """A record breaks the envelope's contract."""
 
@@ -83,9 +92,11 @@ def land(events: DataFrame, root: str) -> int:
     fresh = fresh.dropDuplicates(["_id"])
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        from cairn.sources.readers import read_events
-
-        landed = read_events(spark, root).select(F.col("_metadata.event_id").alias("_id"), F.col("_metadata.payload_sha256").alias("_old"))
+        # an event lands in the folder of its table and date: only the folders that this batch touches are read
+        day = F.substring("_metadata.event_timestamp", 1, 10)
+        touched = fresh.groupBy(F.col("_metadata.source_schema").alias("schema"), F.col("_metadata.source_table").alias("table")).agg(F.min(day).alias("low"), F.max(day).alias("high")).collect()  # a row a table
+        folders = reduce(or_, [(F.col("schema") == t["schema"]) & (F.col("table") == t["table"]) & F.col("event_date").between(t["low"], t["high"]) for t in touched], F.lit(False))
+        landed = spark.read.schema(LANDED).json(root).filter(folders).select(F.col("_metadata.event_id").alias("_id"), F.col("_metadata.payload_sha256").alias("_old"))
         both = fresh.join(landed, "_id")
         if not both.filter("_sha <> _old").isEmpty():
             raise IdentityConflict("a landed event has the same identity and other content")
