@@ -107,13 +107,20 @@ def run_all(spark: SparkSession, store: TableStore, control: ControlPlane, batch
     return gold
 
 
-def run_rebuild(raw: Mapping[str, DataFrame], store: TableStore, at: Column | None = None, as_of: Column | None = None) -> dict[str, DataFrame]:
-    """The batch path: cleanse, rebuild the vault, rebuild the star; every table is written once and read back."""
+def rebuild_star(clean: Mapping[str, DataFrame], store: TableStore, at: Column | None = None, as_of: Column | None = None) -> dict[str, DataFrame]:
+    """Vault and star over cleansed tables; every table is written once and read back."""
 
     def keep(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         for name, df in tables.items():
             store.overwrite(name, df)
         return {name: store.read(name) for name in tables}
 
-    built = keep(star.build_vault(star.clean_all(dict(raw)), at))
-    return keep(star.build_star(built, as_of))
+    return keep(star.build_star(keep(star.build_vault(dict(clean), at)), as_of))
+
+
+def run_rebuild(raw: Mapping[str, DataFrame], store: TableStore, at: Column | None = None, as_of: Column | None = None) -> dict[str, DataFrame]:
+    """The batch path: cleanse, rebuild the vault, rebuild the star."""
+    clean = star.clean_all(dict(raw))
+    for name, df in clean.items():
+        store.overwrite(f"clean_{name}", df)
+    return rebuild_star({name: store.read(f"clean_{name}") for name in clean}, store, at, as_of)

@@ -1,4 +1,5 @@
-"""The engine's operators over the driver's tables: a query, and the same result in DuckDB SQL.
+"""The engine's operators over the driver's tables: a query, and the same result in DuckDB SQL.  Vault, store and marts are in
+`warehouse_queries`, over a change log of the same tables.
 
 Roles: customer -> customer, part -> product, nation/supplier -> branch, region -> currency, orders -> application,
 lineitem -> loan (summed per order, as its own key is not unique), events -> change-event log.
@@ -65,33 +66,14 @@ def cdc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def split_at(df: DataFrame) -> DataFrame:
-    """One row: the id that parts persisted events from the batch."""
-    return df.agg(F.expr("max(event_id) * 7 div 10").alias("cut"))
+def mark(df: DataFrame, tenths: int):
+    """The id below which so many tenths of the id range lie: a scalar subquery, so the scan can be pruned by it."""
+    return df.agg(F.expr(f"max(event_id) * {tenths} div 10").alias("cut")).scalar()
 
 
 # --- hubs, links, satellites -------------------------------------------------------------------------------------------
 
 
-def _hub(spark, sf, table: str, namespace: str, key: str) -> DataFrame:
-    rows = T(spark, sf, table).select(F.col(key).alias("k")).filter(X.valid_key("k"))
-    return rows.select(X.hash_key(namespace, "k").alias("hk"), X.canonical("k").alias("bk")).distinct()
-
-
-def _hub_sql(table: str, namespace: str, key: str) -> str:
-    return f"select distinct sha256(concat_ws('||', '{namespace}', upper(trim({key}::varchar)))) as hk, upper(trim({key}::varchar)) as bk from {table} where coalesce(trim({key}::varchar), '') <> ''"
-
-
-for _name, _args in {
-    "hub_customer": ("customer", "CUSTOMER", "c_custkey"),
-    "hub_product": ("part", "PRODUCT", "p_name"),
-    "hub_branch": ("nation", "BRANCH", "n_name"),
-    "hub_currency": ("region", "CURRENCY", "r_name"),
-}.items():
-    QUERIES[_name] = lambda spark, sf, a=_args: _hub(spark, sf, *a)
-    ORACLES[_name] = _hub_sql(*_args)
-
-
 @query(f"with {E}, r as (select *, row_number() over (partition by user_id order by ts, event_id) as n from e) select sha256(concat_ws('||', 'CUSTOMER', user_id::varchar)) as hk, user_id::varchar as bk, ts::varchar as load_datetime, event_id as kafka_offset from r where n = 1")
 def hub_first_arrival_events(spark, sf):
     from cairn.operators.history import first_arrival
@@ -100,19 +82,6 @@ def hub_first_arrival_events(spark, sf):
     return first.select(X.hash_key("CUSTOMER", "user_id").alias("hk"), text("user_id").alias("bk"), text("ts").alias("load_datetime"), "kafka_offset")
 
 
-@query("""
-select sha256(concat_ws('||', 'APPLICATION_CONTEXT', o_orderkey::varchar, c_custkey::varchar, upper(trim(n_name)), upper(trim(r_name)))) as application_context_hk,
- sha256(concat_ws('||', 'LOAN_APPLICATION', o_orderkey::varchar)) as loan_application_hk, sha256(concat_ws('||', 'CUSTOMER', c_custkey::varchar)) as customer_hk,
- sha256(concat_ws('||', 'BRANCH', upper(trim(n_name)))) as branch_hk, sha256(concat_ws('||', 'CURRENCY', upper(trim(r_name)))) as currency_hk
-from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-""")
-def link_application_context(spark, sf):
-    place = T(spark, sf, "customer").join(T(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(T(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = T(spark, sf, "orders").select("o_orderkey", "o_custkey").join(place.select("c_custkey", "n_name", "r_name"), F.col("o_custkey") == F.col("c_custkey"))
-    keys = {"loan_application": "o_orderkey", "customer": "c_custkey", "branch": "n_name", "currency": "r_name"}
-    return rows.select(X.hash_key("APPLICATION_CONTEXT", *keys.values()).alias("application_context_hk"), *[X.hash_key(k.upper(), c).alias(f"{k}_hk") for k, c in keys.items()])
-
-
 HASHDIFF = "sha256(concat_ws('||', 'SAT_EVENT_HASHDIFF', upper(trim(event_type)), case when trim(coalesce(props, '')) = '' then '^^' else upper(trim(props)) end))"
 
 
@@ -125,18 +94,6 @@ def sat_change_capture(spark, sf):
 STATUS = "case when op = 'd' then 'DELETED' else 'ACTIVE' end"
 
 
-@query(f"with {E}, s as (select *, {STATUS} as record_status from e), l as (select *, lag(record_status) over (partition by user_id order by event_id, ts) as before from s) select event_id, user_id, record_status, op = 'd' as is_deleted from l where record_status is distinct from before")
-def entity_status_transitions(spark, sf):
-    rows = cdc(spark, sf).withColumns({"record_status": F.when(F.col("op") == "d", "DELETED").otherwise("ACTIVE"), "is_deleted": F.col("op") == "d"})
-    return changes_by(rows, ["user_id"], source_history(), "record_status").select("event_id", "user_id", "record_status", "is_deleted")
-
-
-@query(f"with {E}, s as (select *, sha256(concat_ws('||', 'SOURCE_RECORD', 'EVENTS', user_id::varchar)) as source_record_hk, {STATUS} as record_status from e), l as (select *, lag(record_status) over (partition by source_record_hk order by event_id, ts) as before from s) select source_record_hk, record_status, op as record_operation, event_id::varchar as source_event_id from l where before is null or record_status <> before")
-def source_record_tracking(spark, sf):
-    rows = cdc(spark, sf).select("*", X.hash_key("SOURCE_RECORD", F.lit("events"), "user_id").alias("source_record_hk"), F.when(F.col("op") == "d", "DELETED").otherwise("ACTIVE").alias("record_status"))
-    return changes_by(rows, ["source_record_hk"], source_history(), "record_status", null_safe=False).select("source_record_hk", "record_status", F.col("op").alias("record_operation"), "source_event_id")
-
-
 @query(f"""
 with {E}, s as (select *, sha256(concat_ws('||', 'CONTEXT', user_id::varchar, upper(event_type))) as context_hk, {STATUS} as record_status from e),
 d as (select *, sha256(concat_ws('||', 'EFFECTIVITY', upper(context_hk), record_status)) as hashdiff from s),
@@ -159,84 +116,11 @@ def latest_attributes_by_user(spark, sf):
     return top_by(cdc(spark, sf), ["user_id"], latest_attributes()).select("user_id", "event_id", "event_type", "value", text("ts").alias("effective_from"))
 
 
-def _persisted(df: DataFrame, state: str) -> tuple[DataFrame, DataFrame]:
-    cut = split_at(df)
-    old = df.join(cut, F.col("event_id") <= F.col("cut"), "left_semi")
-    new = df.join(cut, F.col("event_id") > F.col("cut"), "left_semi")
-    last = top_by(old, ["user_id"], latest_state()).select("user_id", F.col(state).alias("_state"), F.col("source_lsn").alias("_lsn"), F.col("kafka_topic").alias("_topic"), F.col("kafka_partition").alias("_partition"), F.col("kafka_offset").alias("_offset"))
-    return last, new
-
-
-@query(f"""
-with {E}, s as (select *, {STATUS} as st, event_id <= {SPLIT} as old from e),
-p as (select user_id, st from (select *, row_number() over (partition by user_id order by event_id desc) as n from s where old) where n = 1),
-c as (select *, lag(st) over (partition by user_id order by event_id) as before, row_number() over (partition by user_id order by event_id) as n from s where not old),
-k as (select * from c where before is null or before <> st)
-select k.user_id, k.event_id, k.st as record_status from k left join p using (user_id) where k.n > 1 or p.st is null or p.st <> k.st
-""")
-def bounded_persisted_compare(spark, sf):
-    rows = cdc(spark, sf).withColumn("st", F.when(F.col("op") == "d", "DELETED").otherwise("ACTIVE"))
-    last, new = _persisted(rows, "st")
-    staged = changes_by(new, ["user_id"], source_history(), "st")
-    from pyspark.sql import Window
-
-    ranked = staged.withColumn("_rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*source_history()))).join(last, "user_id", "left")
-    return ranked.filter((F.col("_rank") > 1) | F.col("_state").isNull() | ~F.col("st").eqNullSafe(F.col("_state"))).select("user_id", "event_id", F.col("st").alias("record_status"))
-
-
-@query(f"""
-with {E}, m as (select user_id, max(event_id) as top from e where event_type in ('view', 'click') group by 1), b as (select user_id, min(event_id) as low from e where event_type not in ('view', 'click') group by 1)
-select user_id, low, top from b join m using (user_id) where low <= top
-""")
-def out_of_order_rows(spark, sf):
-    """Users whose first event of the other kinds is not after their last view or click, by the boundary predicate."""
-    e = cdc(spark, sf)
-    last = e.filter("event_type in ('view', 'click')").groupBy("user_id").agg(F.max("event_id").alias("_lsn"), F.first("kafka_topic").alias("_topic"), F.first("kafka_partition").alias("_partition"), F.max("kafka_offset").alias("_offset"))
-    first = e.filter("event_type not in ('view', 'click')").groupBy("user_id").agg(F.min("event_id").alias("source_lsn"), F.first("kafka_topic").alias("kafka_topic"), F.first("kafka_partition").alias("kafka_partition"), F.min("kafka_offset").alias("kafka_offset"))
-    return first.join(last, "user_id").filter(not_after()).select("user_id", F.col("source_lsn").alias("low"), F.col("_lsn").alias("top"))
-
-
-@query("with t as (select distinct user_id as k from events where event_type = 'signup'), s as (select distinct user_id as k from events) select k, 'kept' as origin from t union all select k, 'inserted' from s where not exists (select 1 from t where t.k = s.k)")
-def insert_only_merge_result(spark, sf):
-    e = T(spark, sf, "events")
-    target = e.filter("event_type = 'signup'").select(F.col("user_id").alias("k")).distinct()
-    fresh = e.select(F.col("user_id").alias("k")).distinct().join(target, "k", "left_anti")
-    return target.select("k", F.lit("kept").alias("origin")).unionAll(fresh.select("k", F.lit("inserted").alias("origin")))
-
-
 @query("select distinct c_custkey as user_id from customer where not exists (select 1 from events where user_id = c_custkey)")
 def missing_target_keys(spark, sf):
     return missing_keys(T(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), T(spark, sf, "events"), "user_id")
 
 
-REASON = "case when event_id is null then 'MISSING_EVENT_ID' when event_type is null then 'MISSING_OPERATION' when event_type not in ('view', 'click', 'purchase', 'signup') then 'UNSUPPORTED_OPERATION' when event_type = 'purchase' and value < 5 then 'MISSING_AFTER_IMAGE' end"
-
-
-@query(f"select distinct sha256(concat_ws('||', event_id::varchar, reason_code)) as quarantine_hk, reason_code from (select event_id, {REASON} as reason_code from events) where reason_code is not null")
-def quarantine_reasons(spark, sf):
-    t = F.col("event_type")
-    reason = F.when(F.col("event_id").isNull(), "MISSING_EVENT_ID").when(t.isNull(), "MISSING_OPERATION").when(~t.isin("view", "click", "purchase", "signup"), "UNSUPPORTED_OPERATION").when((t == "purchase") & (F.col("value") < 5), "MISSING_AFTER_IMAGE")
-    rows = T(spark, sf, "events").withColumn("reason_code", reason).filter("reason_code is not null")
-    return rows.select(F.sha2(F.concat_ws("||", text("event_id"), "reason_code"), 256).alias("quarantine_hk"), "reason_code").dropDuplicates(["quarantine_hk"])
-
-
-@query(f"""
-with q as (select event_id, {REASON} as reason from events), c as (select count(*) as events, count(distinct event_id) as coordinates, count(reason) as bad, count(*) filter (reason is null) as good from q)
-select 'MANIFEST_TO_BRONZE_EVENT_COUNT' as check_scope, events::bigint as expected_count, events::bigint as actual_count from c
-union all select 'MANIFEST_TO_UNIQUE_KAFKA_COORDINATES', events, coordinates from c
-union all select 'BRONZE_CLASSIFICATION_CONSERVATION', events, good + bad from c
-""")
-def conservation_counts(spark, sf):
-    e = T(spark, sf, "events")
-    bad = quarantine_reasons(spark, sf).agg(F.count(F.lit(1)).alias("bad"))
-    t = F.col("event_type")
-    good = ~(F.col("event_id").isNull() | t.isNull() | ~t.isin("view", "click", "purchase", "signup") | ((t == "purchase") & (F.col("value") < 5)))
-    one = e.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("coordinates"), F.count_if(F.coalesce(good, F.lit(True))).alias("good")).join(bad, F.lit(True))  # single rows
-    row = lambda s, a: F.struct(F.lit(s).alias("check_scope"), long(F.col("events")).alias("expected_count"), long(a).alias("actual_count"))
-    rules = F.array(row("MANIFEST_TO_BRONZE_EVENT_COUNT", F.col("events")), row("MANIFEST_TO_UNIQUE_KAFKA_COORDINATES", F.col("coordinates")), row("BRONZE_CLASSIFICATION_CONSERVATION", F.col("good") + F.col("bad")))
-    return one.select(F.inline(rules))
-
-
 # --- manifests, control --------------------------------------------------------------------------------------------------
 
 
@@ -249,7 +133,7 @@ from events left join p on p.topic = event_type group by event_type, low
 def manifest_bounds(spark, sf):
     e = T(spark, sf, "events")
     objects = e.select(F.col("event_type").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.length("props").alias("size_bytes"))
-    old = e.join(split_at(e), F.col("event_id") <= F.col("cut"), "left_semi")
+    old = e.filter(F.col("event_id") <= mark(e, 7))
     published = old.groupBy(F.col("event_type").alias("topic"), F.lit(0).alias("partition")).agg(F.max("event_id").alias("watermark_high"))
     out = M.bounds_of(objects, published)
     return out.select("topic", "partition", "watermark_low", "watermark_high", "interval_object_count", "interval_input_bytes")
@@ -258,13 +142,7 @@ def manifest_bounds(spark, sf):
 @query(f"select event_id, event_type from events where event_id > {SPLIT} and event_id <= (select max(event_id) * 9 // 10 from events)")
 def bounded_interval(spark, sf):
     e = T(spark, sf, "events")
-    marks = e.agg(F.expr("max(event_id) * 7 div 10").alias("low"), F.expr("max(event_id) * 9 div 10").alias("high"))
-    return e.join(marks, (F.col("event_id") > F.col("low")) & (F.col("event_id") <= F.col("high")), "left_semi").select("event_id", "event_type")
-
-
-@query("select user_id as txid, count(*)::bigint as observed_event_count, min(event_id)::bigint as event_lsn_low, max(event_id)::bigint as event_lsn_high, user_id is null as untracked from events group by user_id")
-def txn_summary(spark, sf):
-    return M.transaction_summary(T(spark, sf, "events").select(F.col("user_id").alias("txid"), F.col("event_id").alias("source_lsn")))
+    return e.filter((F.col("event_id") > mark(e, 7)) & (F.col("event_id") <= mark(e, 9))).select("event_id", "event_type")
 
 
 @query("with l as (select user_id as txid, max(event_id) as lsn_position, count(*) as n from events group by 1), o as (select distinct user_id as txid from events where event_type = 'error') select txid, lsn_position::bigint as lsn_position, n::bigint as n from l where lsn_position <= (select max(lsn_position) from l join o using (txid))")
@@ -274,18 +152,6 @@ def ledger_boundary(spark, sf):
     return M.ledger_through(ledger, e.filter("event_type = 'error'").select(F.col("user_id").alias("txid")))
 
 
-INTERVALS = "i as (select event_type as topic, event_id // 200 as batch, min(event_id) - 1 as low, max(event_id) + case when event_id // 200 % 7 = 0 then 25 else 0 end as high from events group by 1, 2)"
-
-
-@query(f"with {INTERVALS} select a.topic, a.batch::bigint as batch_a, b.batch::bigint as batch_b from i a join i b on a.topic = b.topic and a.batch < b.batch and a.low < b.high and b.low < a.high")
-def published_interval_overlap(spark, sf):
-    e = T(spark, sf, "events").withColumn("batch", F.expr("event_id div 200"))
-    i = e.groupBy(F.col("event_type").alias("topic"), "batch").agg((F.min("event_id") - 1).alias("low"), (F.max("event_id") + F.when(F.col("batch") % 7 == 0, 25).otherwise(0)).alias("high"))
-    a, b = i.alias("a"), i.alias("b")
-    cond = (F.col("a.topic") == F.col("b.topic")) & (F.col("a.batch") < F.col("b.batch")) & (F.col("a.low") < F.col("b.high")) & (F.col("b.low") < F.col("a.high"))
-    return a.join(b, cond).select("a.topic", F.col("a.batch").alias("batch_a"), F.col("b.batch").alias("batch_b"))
-
-
 @query("select user_id as topic_id, greatest(max(event_id) - coalesce(max(event_id) filter (event_type = 'purchase'), 0), 0)::bigint as lag from events group by 1")
 def consumer_lag_by_user(spark, sf):
     e = T(spark, sf, "events").select(F.col("user_id").alias("topic"), F.lit(0).alias("partition"), "event_id", "event_type")
@@ -294,18 +160,6 @@ def consumer_lag_by_user(spark, sf):
     return consumer_lag(high, done).select(F.col("topic").alias("topic_id"), "lag")
 
 
-@query("""
-select n_name, (select count(*) from customer c where c.c_nationkey = n_nationkey)::bigint as customers, (select count(*) from supplier s where s.s_nationkey = n_nationkey)::bigint as suppliers,
- (select coalesce(max(c.c_custkey), 0) from customer c where c.c_nationkey = n_nationkey)::bigint as latest from nation
-""")
-def correlated_history_view(spark, sf):
-    for t in ("nation", "customer", "supplier"):
-        T(spark, sf, t).createOrReplaceTempView(f"_hist_{t}")
-    return spark.sql("""
-        select n_name, (select count(*) from _hist_customer c where c.c_nationkey = n_nationkey) as customers, (select count(*) from _hist_supplier s where s.s_nationkey = n_nationkey) as suppliers,
-        (select coalesce(max(c.c_custkey), 0) from _hist_customer c where c.c_nationkey = n_nationkey) as latest from _hist_nation""")
-
-
 # --- cleansing, expressions ----------------------------------------------------------------------------------------------
 
 
@@ -446,26 +300,6 @@ def money(c: str):
     return F.col(c).cast("double").alias(c)
 
 
-@query(f"with {APPS} select application_id, customer_id, branch_code, currency_code, requested_amount::double as requested_amount, application_status_code, date_sub('hour', applied_at, decision_at)::double as decision_duration_hours, application_status_code in ('APPROVED', 'REJECTED') as is_decided, application_status_code = 'APPROVED' as is_approved from apps")
-def fct_applications(spark, sf):
-    return applications(spark, sf).select("application_id", "customer_id", "branch_code", "currency_code", money("requested_amount"), "application_status_code", money("decision_duration_hours"), "is_decided", "is_approved")
-
-
-@query(f"with {LOANS} select loan_id, customer_id, branch_code, currency_code, principal_amount::double as principal_amount, loan_status_code, strftime(disbursed_at, '%Y-%m-%d') as disbursed_on, loan_status_code = 'ACTIVE' as is_active, loan_status_code = 'DELINQUENT' as is_delinquent from loans")
-def fct_loans(spark, sf):
-    return loans(spark, sf).select("loan_id", "customer_id", "branch_code", "currency_code", money("principal_amount"), "loan_status_code", F.date_format("disbursed_at", "yyyy-MM-dd").alias("disbursed_on"), "is_active", "is_delinquent")
-
-
-@query(f"with {E}, s as (select user_id from (select *, row_number() over (partition by user_id order by event_id desc) as n from e) where n = 1 and op <> 'd'), d as (select user_id, value, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from e) where n = 1) select c_custkey, c_name, d.event_type, d.value from customer join s on s.user_id = c_custkey join d on d.user_id = c_custkey")
-def dim_current_join(spark, sf):
-    """Hub, active status and latest details."""
-    e = cdc(spark, sf)
-    active = top_by(e, ["user_id"], latest_state()).filter("op <> 'd'").select("user_id")
-    details = top_by(e, ["user_id"], latest_attributes()).select("user_id", "event_type", "value")
-    hub = T(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
-    return hub.join(active, "user_id", "left_semi").join(details, "user_id").select(F.col("user_id").alias("c_custkey"), "c_name", "event_type", "value")
-
-
 PORTFOLIO = """portfolio as (select customer_id, currency_code, count(*) as loan_count, count(*) filter (loan_status_code = 'ACTIVE') as active_loan_count, count(*) filter (loan_status_code = 'DELINQUENT') as delinquent_loan_count,
  count(*) filter (loan_status_code = 'CLOSED') as closed_loan_count, sum(principal_amount) as total_principal_amount, min(disbursed_at) as first_disbursed_at, max(disbursed_at) as latest_disbursed_at from loans group by 1, 2)"""
 
@@ -478,12 +312,6 @@ def portfolio(spark, sf) -> DataFrame:
     )
 
 
-@query(f"with {LOANS}, {PORTFOLIO} select customer_id, currency_code, loan_count, active_loan_count, delinquent_loan_count, closed_loan_count, total_principal_amount::double as total_principal_amount, strftime(first_disbursed_at, '%Y-%m-%d') as first_disbursed_on, strftime(latest_disbursed_at, '%Y-%m-%d') as latest_disbursed_on from portfolio")
-def portfolio_agg(spark, sf):
-    p = portfolio(spark, sf)
-    return p.select("customer_id", "currency_code", "loan_count", "active_loan_count", "delinquent_loan_count", "closed_loan_count", money("total_principal_amount"), F.date_format("first_disbursed_at", "yyyy-MM-dd").alias("first_disbursed_on"), F.date_format("latest_disbursed_at", "yyyy-MM-dd").alias("latest_disbursed_on"))
-
-
 @query(f"with {LOANS}, {PORTFOLIO}, f as (select currency_code, count(*) as n, sum(principal_amount) as s from loans where loan_status_code <> 'CLOSED' group by 1), p as (select currency_code, sum(loan_count) as n, sum(total_principal_amount) as s from portfolio group by 1) select coalesce(f.currency_code, p.currency_code) as currency_hk, f.n::bigint as fact_loan_count, p.n::bigint as portfolio_loan_count from f full outer join p on f.currency_code = p.currency_code where f.n is null or p.n is null or f.n <> p.n or f.s <> p.s")
 def portfolio_reconcile_full_outer(spark, sf):
     """Open loans against the whole portfolio: the totals differ by the closed ones."""
@@ -498,47 +326,6 @@ def grain_check(spark, sf):
     return quality.portfolio_grain(loans(spark, sf))
 
 
-LINEAGE = f"""lineage as (select 'dim_customer' as gold_model, c_custkey::varchar as gold_business_key, 'current_attributes' as lineage_role, event_id as source_event_id from customer join (select * from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1) on user_id = c_custkey
- union all select 'fct_applications', o_orderkey::varchar, 'business_context', o_custkey from orders
- union all select 'fct_loans', l_orderkey::varchar, 'contributing_line', l_partkey from lineitem)"""
-
-
-def lineage(spark, sf) -> DataFrame:
-    row = lambda df, m, k, r, s: df.select(F.lit(m).alias("gold_model"), text(k).alias("gold_business_key"), F.lit(r).alias("lineage_role"), F.col(s).alias("source_event_id"))
-    last = top_by(cdc(spark, sf), ["user_id"], latest_attributes()).select(F.col("user_id").alias("c_custkey"), "event_id")
-    a = row(T(spark, sf, "customer").select("c_custkey").join(last, "c_custkey"), "dim_customer", "c_custkey", "current_attributes", "event_id")
-    b = row(T(spark, sf, "orders"), "fct_applications", "o_orderkey", "business_context", "o_custkey")
-    return a.unionAll(b).unionAll(row(T(spark, sf, "lineitem"), "fct_loans", "l_orderkey", "contributing_line", "l_partkey"))
-
-
-@query(f"with {LINEAGE} select gold_model, lineage_role, count(*) as rows, count(distinct gold_business_key) as keys from lineage group by 1, 2")
-def lineage_union(spark, sf):
-    return lineage(spark, sf).groupBy("gold_model", "lineage_role").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("gold_business_key").alias("keys"))
-
-
-@query(f"with {LINEAGE} select gold_model, gold_business_key, lineage_role, source_event_id, count(*) as rows from lineage group by 1, 2, 3, 4 having count(*) > 1")
-def lineage_unique(spark, sf):
-    return quality.lineage_unique(lineage(spark, sf))
-
-
-@query(f"with {LINEAGE} select c_custkey::varchar as gold_business_key from customer left join lineage on gold_model = 'dim_customer' and gold_business_key = c_custkey::varchar where gold_business_key is null")
-def lineage_complete(spark, sf):
-    have = lineage(spark, sf).filter("gold_model = 'dim_customer'").select("gold_business_key")
-    return T(spark, sf, "customer").select(text("c_custkey").alias("gold_business_key")).join(have, "gold_business_key", "left_anti")
-
-
-@query(f"with {E}, s as (select user_id, op from (select *, row_number() over (partition by user_id order by event_id desc) as n from e) where n = 1) select c_custkey from customer join s on user_id = c_custkey where op = 'd'")
-def deleted_still_present(spark, sf):
-    gone = top_by(cdc(spark, sf), ["user_id"], latest_state()).filter("op = 'd'").select(F.col("user_id").alias("c_custkey"))
-    return T(spark, sf, "customer").select("c_custkey").join(gone, "c_custkey", "left_semi")
-
-
-@query("select o.o_orderkey, o.o_custkey as gold_context, l.k as expected_context from orders o join (select l_orderkey, min(l_suppkey) as k from lineitem group by 1) l on l_orderkey = o_orderkey where o.o_custkey <> l.k")
-def stale_context_theta(spark, sf):
-    expected = T(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("expected_context"))
-    return T(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("gold_context")).join(expected, "o_orderkey").filter("gold_context <> expected_context")
-
-
 # --- data tests ----------------------------------------------------------------------------------------------------------
 
 
@@ -575,11 +362,6 @@ def application_rules_test(spark, sf):
     return quality.any_of(rows, quality.application_rules()).select("application_id")
 
 
-@query("select max(n)::bigint as most_versions, count(*)::bigint as keys from (select user_id, count(*) as n from events group by 1)")
-def multiversion_max(spark, sf):
-    return T(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most_versions"), F.count(F.lit(1)).alias("keys"))
-
-
 # --- reports -------------------------------------------------------------------------------------------------------------
 
 
@@ -614,10 +396,10 @@ def kpi_branch(spark, sf):
 
 
 @query(f"""with {APPS}, h as (select *, date_sub('hour', applied_at, decision_at) as hours, application_status_code <> 'PENDING' as decided from apps)
-select product_code, branch_code, count(*) filter (decided) as decided_application_count, round(avg(hours) filter (decided), 6) as average_decision_hours, round(quantile_cont(hours, 0.5) filter (decided), 6) as median_decision_hours, round(quantile_cont(hours, 0.95) filter (decided), 6) as p95_decision_hours from h group by 1, 2""")
+select product_code, branch_code, count(*) filter (decided) as decided_application_count, round(avg(hours) filter (decided), 6) as average_decision_hours, quantile_disc(hours, 0.5) filter (decided)::double as median_decision_hours, quantile_disc(hours, 0.95) filter (decided)::double as p95_decision_hours from h group by 1, 2""")
 def kpi_turnaround(spark, sf):
     out = kpi.decision_turnaround(applications(spark, sf))
-    return out.withColumns({c: F.round(c, 6) for c in ("average_decision_hours", "median_decision_hours", "p95_decision_hours")})
+    return out.withColumns({"average_decision_hours": F.round("average_decision_hours", 6), "median_decision_hours": F.col("median_decision_hours").cast("double"), "p95_decision_hours": F.col("p95_decision_hours").cast("double")})
 
 
 @query("select count(*) as checks, count(*) filter (value > 50) as failures, epoch(max(ts))::bigint as checked_at_seconds from events where user_id = (select user_id from events order by ts desc nulls last, user_id desc limit 1)")
@@ -631,10 +413,13 @@ def gold_grain_freshness(spark, sf):
     return kpi.grain_and_freshness(T(spark, sf, "events"), ["user_id"], "ts").withColumn("latest_load", text("latest_load"))
 
 
-@query(f"with {APPS}, {LOANS} select (select count(*) from apps) as applications, (select count(*) from apps where application_status_code = 'APPROVED') as approved_applications, (select count(*) from loans) as loans, (select count(*) from loans where loan_status_code = 'DELINQUENT') as delinquent_loans, (select count(*) from customer) as customers")
+@query(f"""with {APPS}, {LOANS}, a as (select count(*) as applications, count(*) filter (application_status_code = 'APPROVED') as approved_applications, round(avg(date_sub('hour', applied_at, decision_at)), 6) as average_decision_hours, sum(requested_amount)::double as requested_amount from apps),
+l as (select count(*) as loans, count(*) filter (loan_status_code = 'DELINQUENT') as delinquent_loans, sum(principal_amount)::double as principal_amount from loans)
+select a.*, l.*, (select count(*) from customer) as customers, round(approved_applications / applications, 6) as approval_rate, round(delinquent_loans / loans, 6) as delinquency_rate from a, l""")
 def report_measures(spark, sf):
     m = kpi.measures(applications(spark, sf), loans(spark, sf), T(spark, sf, "customer"))
-    return m.select("applications", "approved_applications", "loans", "delinquent_loans", "customers")
+    rounded = {c: F.round(c, 6) for c in ("average_decision_hours", "approval_rate", "delinquency_rate")}
+    return m.withColumns({**rounded, "requested_amount": F.col("requested_amount").cast("double"), "principal_amount": F.col("principal_amount").cast("double")})
 
 
 @query("select event_type, user_id, event_id from (select *, row_number() over (partition by event_type, user_id order by ts desc nulls last, event_id desc) as n from events) where n = 1")
@@ -650,16 +435,6 @@ def inventory_stats(spark, sf):
     return FP.inventory_stats(T(spark, sf, "events").select(F.length("props").cast("long").alias("size_bytes")))
 
 
-@query()
-def fingerprint(spark, sf):
-    """Rows and checksum of every star table."""
-    parts = [FP.fingerprint(T(spark, sf, t)).withColumn("table_name", F.lit(t)) for t in ("customer", "orders", "part", "supplier", "nation", "region")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
-
-
 @query("select count(distinct (o_custkey, o_orderstatus)) as distinct_pairs, count(distinct o_custkey) as distinct_customers, count(*) as rows from orders")
 def composite_grain(spark, sf):
     return T(spark, sf, "orders").agg(F.count_distinct(F.struct("o_custkey", "o_orderstatus")).alias("distinct_pairs"), F.count_distinct("o_custkey").alias("distinct_customers"), F.count(F.lit(1)).alias("rows"))
@@ -681,26 +456,3 @@ def clean_tables(spark, sf) -> dict[str, DataFrame]:
     lines = T(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("x"), F.max("l_returnflag").alias("r"), F.max("l_shipdate").alias("d"))
     t = lines.join(T(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(text("l_orderkey").alias("transaction_id"), text("l_orderkey").alias("account_id"), text("o_custkey").alias("customer_id"), text("s").alias("merchant_id"), text("x").alias("amount"), F.lit("TRY").alias("currency"), F.col("r").alias("transaction_status"), F.lit("pos").alias("transaction_channel"), text("d").alias("transaction_timestamp"))
     return {"customers": c, "accounts": a, "merchants": m, "transactions": t}
-
-
-@query("""
-select l_orderkey::varchar as transaction_id, o_custkey::varchar as customer_id, min(l_suppkey)::varchar as merchant_id, sum(cast(l_extendedprice as decimal(18,2)))::double as amount,
- strftime(max(l_shipdate), '%Y-%m-%d') as transaction_date, hour(max(l_shipdate))::integer as transaction_hour, strftime(max(l_shipdate), '%Y-%m') as transaction_month
-from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey group by l_orderkey, o_custkey
-""")
-def fact_transactions(spark, sf):
-    """The whole batch path: cleanse, vault, star."""
-    from cairn.operators import star
-
-    built = star.build_star(star.build_vault(star.clean_all(clean_tables(spark, sf)), F.lit("2024-01-01").cast("timestamp")), F.lit(AS_OF).cast("date"))
-    return built["fact_transactions"].select("transaction_id", "customer_id", "merchant_id", "amount", F.date_format("transaction_date", "yyyy-MM-dd").alias("transaction_date"), "transaction_hour", "transaction_month")
-
-
-@query("select s_suppkey::varchar as merchant_id, s_nationkey as risk_score, case when s_nationkey >= 80 then 'high' when s_nationkey >= 50 then 'medium' else 'low' end as risk_band from supplier")
-def dim_merchant(spark, sf):
-    from cairn.operators import star
-
-    clean = {"merchants": star.CLEANSE["merchants"](clean_tables(spark, sf)["merchants"])}
-    hub = star.build_hub(clean["merchants"], "merchant", F.lit("2024-01-01").cast("timestamp"))
-    sat = star.build_satellite(clean["merchants"], "merchant", F.lit("2024-01-01").cast("timestamp"))
-    return star._ids({"hub_merchant": hub}, "merchant").join(star._latest({"sat_merchant_details": sat}, "merchant"), "merchant_hk").select("merchant_id", "risk_score", X.risk_band("risk_score").alias("risk_band"))
