@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -258,30 +259,30 @@ fl as (select l.* from (select *, row_number() over (partition by k order by lsn
 money = lambda c: F.col(c).cast("double").alias(c)
 
 
-def _mart(name: str, mart: str, columns: list, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf: warehouse(spark, sf).gold(mart).select(*columns)
+def _mart(name: str, mart: str, columns: Callable[[], list], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf: warehouse(spark, sf).gold(mart).select(*columns())  # columns need a session
     ORACLES[name] = f"with {GOLD} {sql}"
 
 
 BANDS = "case when y is null then 'UNKNOWN' when y < 18 then 'UNDER_18' when y < 25 then '18_24' when y < 35 then '25_34' when y < 45 then '35_44' when y < 55 then '45_54' when y < 65 then '55_64' else '65_PLUS' end"
-_mart("dim_customer_current", "dim_customer_current", ["customer_id", "customer_type", "segment_code", "status_code", "home_branch_code", "age_band", "is_active"], f"select bk as customer_id, customer_type, seg as segment_code, st as status_code, (k % 25)::varchar as home_branch_code, {BANDS} as age_band, st = 'ACTIVE' as is_active from dc")
-_mart("dim_product_current", "dim_product_current", ["product_code", "product_type", "default_currency_code", "is_active"], "select upper(o_orderpriority) as product_code, 'LOAN' as product_type, '0' as default_currency_code, min(o_orderkey) % 2 = 0 as is_active from orders group by o_orderpriority")
-_mart("dim_branch_current", "dim_branch_current", ["branch_code", "branch_name", "city", "is_active"], "select n_nationkey::varchar as branch_code, n_name as branch_name, left(n_name, 3) as city, true as is_active from nation where n_nationkey <> 24")
-_mart("dim_currency_current", "dim_currency_current", ["currency_code", "currency_name", "minor_unit", "is_active"], "select r_regionkey::varchar as currency_code, r_name as currency_name, 2::integer as minor_unit, false as is_active from region")
+_mart("dim_customer_current", "dim_customer_current", lambda: ["customer_id", "customer_type", "segment_code", "status_code", "home_branch_code", "age_band", "is_active"], f"select bk as customer_id, customer_type, seg as segment_code, st as status_code, (k % 25)::varchar as home_branch_code, {BANDS} as age_band, st = 'ACTIVE' as is_active from dc")
+_mart("dim_product_current", "dim_product_current", lambda: ["product_code", "product_type", "default_currency_code", "is_active"], "select upper(o_orderpriority) as product_code, 'LOAN' as product_type, '0' as default_currency_code, min(o_orderkey) % 2 = 0 as is_active from orders group by o_orderpriority")
+_mart("dim_branch_current", "dim_branch_current", lambda: ["branch_code", "branch_name", "city", "is_active"], "select n_nationkey::varchar as branch_code, n_name as branch_name, left(n_name, 3) as city, true as is_active from nation where n_nationkey <> 24")
+_mart("dim_currency_current", "dim_currency_current", lambda: ["currency_code", "currency_name", "minor_unit", "is_active"], "select r_regionkey::varchar as currency_code, r_name as currency_name, 2::integer as minor_unit, false as is_active from region")
 _mart(
     "fct_applications", "fct_loan_applications_current",
-    ["application_id", "application_context_hk", "customer_id", "product_code", "branch_code", "currency_code", money("requested_amount"), "term_months", "application_status_code", F.col("decision_duration_hours").cast("long").alias("decision_duration_hours"), "is_decided", "is_approved"],
+    lambda: ["application_id", "application_context_hk", "customer_id", "product_code", "branch_code", "currency_code", money("requested_amount"), "term_months", "application_status_code", F.col("decision_duration_hours").cast("long").alias("decision_duration_hours"), "is_decided", "is_approved"],
     f"select upper({APP}) as application_id, {APP_CONTEXT} as application_context_hk, c::varchar as customer_id, upper(pr) as product_code, br::varchar as branch_code, (c % 5)::varchar as currency_code, amount::double as requested_amount, (12 + k % 48)::integer as term_months, st as application_status_code, date_sub('hour', applied, done)::bigint as decision_duration_hours, st in ('APPROVED', 'REJECTED') as is_decided, st = 'APPROVED' as is_approved from fa",
 )
 _mart(
     "fct_loans", "fct_loans_current",
-    ["loan_id", "application_id", "loan_context_hk", "customer_id", "product_code", "branch_code", "currency_code", money("principal_amount"), money("annual_interest_rate"), "loan_status_code", text("disbursed_at").alias("disbursed_at"), text("maturity_date").alias("maturity_date"), "is_active", "is_delinquent"],
+    lambda: ["loan_id", "application_id", "loan_context_hk", "customer_id", "product_code", "branch_code", "currency_code", money("principal_amount"), money("annual_interest_rate"), "loan_status_code", text("disbursed_at").alias("disbursed_at"), text("maturity_date").alias("maturity_date"), "is_active", "is_delinquent"],
     f"select upper({LOAN}) as loan_id, upper({APP}) as application_id, {LOAN_CONTEXT} as loan_context_hk, c::varchar as customer_id, upper(pr) as product_code, (c % 25)::varchar as branch_code, (c % 5)::varchar as currency_code, principal::double as principal_amount, (1 + k % 9) / 100.0 as annual_interest_rate, st as loan_status_code, paid::varchar as disbursed_at, strftime(due, '%Y-%m-%d') as maturity_date, st = 'ACTIVE' as is_active, st = 'DELINQUENT' as is_delinquent from fl",
 )
 PORTFOLIO = "pf as (select c::varchar as customer_id, (c % 5)::varchar as currency_code, count(*) as loan_count, count(*) filter (st = 'ACTIVE') as active_loan_count, count(*) filter (st = 'DELINQUENT') as delinquent_loan_count, count(*) filter (st = 'CLOSED') as closed_loan_count, sum(principal)::double as total_principal_amount, round(sum(1 + k % 9) / 100.0 / count(*), 6)::double as average_annual_interest_rate, min(paid)::varchar as first_disbursed_at, max(paid)::varchar as latest_disbursed_at from fl group by c)"
 _mart(
     "portfolio_agg", "agg_customer_loan_portfolio",
-    ["customer_id", "customer_type", "segment_code", "currency_code", "loan_count", "active_loan_count", "delinquent_loan_count", "closed_loan_count", money("total_principal_amount"), F.round(F.col("average_annual_interest_rate").cast("double"), 6).alias("average_annual_interest_rate"), text("first_disbursed_at").alias("first_disbursed_at"), text("latest_disbursed_at").alias("latest_disbursed_at")],
+    lambda: ["customer_id", "customer_type", "segment_code", "currency_code", "loan_count", "active_loan_count", "delinquent_loan_count", "closed_loan_count", money("total_principal_amount"), F.round(F.col("average_annual_interest_rate").cast("double"), 6).alias("average_annual_interest_rate"), text("first_disbursed_at").alias("first_disbursed_at"), text("latest_disbursed_at").alias("latest_disbursed_at")],
     f", {PORTFOLIO} select pf.*, customer_type, seg as segment_code from pf join dc on bk = customer_id",
 )
 TRACED = f"""traced as (select 'dim_customer_current' as gold_model, bk as gold_business_key, 'current_attributes' as lineage_role from dc
