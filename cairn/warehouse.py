@@ -140,7 +140,9 @@ class Warehouse:
     def __init__(self, spark: SparkSession, sf: str):
         self.spark = spark
         self.raw = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "events", "orders", "lineitem", "nation", "region")}
-        self.store = TableStore(spark, f"{_scratch(spark)}/cairn-warehouse-{uuid.uuid4().hex}")
+        self.root = f"{_scratch(spark)}/cairn-warehouse-{uuid.uuid4().hex}"
+        self.store = TableStore(spark, f"{self.root}/cdc")
+        self.batch = TableStore(spark, f"{self.root}/batch")  # both paths have a hub_customer, of different columns
         self._gold: dict[str, DataFrame] = {}
 
     def events(self) -> DataFrame:
@@ -175,12 +177,12 @@ class Warehouse:
 
     def star(self, raw: Mapping[str, DataFrame], name: str) -> DataFrame:
         """A table of the batch path, which writes cleansed inputs, vault and star once."""
-        if not self.store.exists("fact_transactions"):
+        if not self.batch.exists("fact_transactions"):
             for t, df in star.clean_all(dict(raw)).items():
-                self.store.overwrite(f"clean_{t}", df)
-            clean = {t: self.store.read(f"clean_{t}") for t in raw}
-            runner.rebuild_star(clean, self.store, F.lit("2024-01-01").cast("timestamp"), F.lit(AS_OF).cast("date"))
-        return self.store.read(name)
+                self.batch.overwrite(f"clean_{t}", df)
+            clean = {t: self.batch.read(f"clean_{t}") for t in raw}
+            runner.rebuild_star(clean, self.batch, F.lit("2024-01-01").cast("timestamp"), F.lit(AS_OF).cast("date"))
+        return self.batch.read(name)
 
 
 _open: dict[tuple[str, str], Warehouse] = {}
@@ -198,4 +200,4 @@ def warehouse(spark: SparkSession, sf: str) -> Warehouse:
 def _close() -> None:
     for w in _open.values():
         with contextlib.suppress(Exception):  # the session may be gone
-            Files(w.spark).delete(w.store.root)
+            Files(w.spark).delete(w.root)

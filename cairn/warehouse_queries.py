@@ -384,7 +384,7 @@ def clean_counts(spark, sf):
 
     raw = clean_tables(spark, sf)
     _star(spark, sf, "fact_transactions")
-    return star.clean_counts(raw, {t: warehouse(spark, sf).store.read(f"clean_{t}") for t in raw})
+    return star.clean_counts(raw, {t: warehouse(spark, sf).batch.read(f"clean_{t}") for t in raw})
 
 
 # --- control -------------------------------------------------------------------------------------------------------------------
