@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cairn.functions import exprs as X
 from cairn.operators import fingerprint as FP
 from cairn.operators import policy, quality, star
+from cairn.plans import kpi
 from cairn.plans import manifest as M
 from cairn.plans import metrics
 from cairn.plans.control import TASKS, ControlError, ControlPlane, check_move
@@ -276,3 +277,16 @@ def test_metrics(spark):
     samples = metrics.connector_samples({"name": "c", "connector": {"state": "RUNNING"}, "tasks": [{"id": 0, "state": "FAILED"}]})
     assert [a for a, _ in metrics.firing([*samples, ("cairn_consumer_lag", {}, 101), ("cairn_consumer_lag", {}, 100)])] == ["connector_task_down", "lag_high"]
     assert len(metrics.ALERTS) == 13
+
+
+def test_turnaround_percentiles_are_exact(spark):
+    """Of more values than a summary of bounded size holds, too."""
+    n = 60_011
+    apps = spark.range(n).selectExpr("'p' as product_code", "'b' as branch_code", "true as is_decided", "id * 7919 % 60011 as decision_duration_hours")
+    more = spark.createDataFrame([("p", "b", False, 10**6), ("p", "b", True, None), ("q", "b", False, 3)], apps.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    p, q = kpi.decision_turnaround(apps.union(more)).collect()
+    assert (p.decided_application_count, p.median_decision_hours, p.p95_decision_hours) == (n + 1, 30005, 57010)
+    assert p.average_decision_hours == pytest.approx((n - 1) / 2)
+    assert tuple(q) == ("q", "b", 0, None, None, None)
+    p, _ = kpi.decision_turnaround(apps.union(more), exact=True).collect()
+    assert (p.median_decision_hours, p.p95_decision_hours) == (30005, pytest.approx(57009.5))
