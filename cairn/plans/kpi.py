@@ -93,9 +93,10 @@ def measures(applications: DataFrame, loans: DataFrame, customers: DataFrame) ->
 
 
 def latest_batch_reconciliation(reconciliation: DataFrame) -> DataFrame:
-    """Counts and freshness of the batch checked last."""
+    """Counts and freshness of the batch checked last, in seconds rounded to the nearest (halves to even, as SQL's cast does)."""
+    seconds = F.rint(F.unix_micros(F.max("checked_at")) / 1e6).cast("long")
     last = reconciliation.orderBy(F.desc_nulls_last("checked_at"), F.desc("load_batch_id")).limit(1).select("load_batch_id")
-    return reconciliation.join(last, "load_batch_id", "left_semi").agg(rows().alias("checks"), F.count_if(~F.col("passed")).alias("failures"), F.unix_timestamp(F.max("checked_at")).alias("checked_at_seconds"))
+    return reconciliation.join(last, "load_batch_id", "left_semi").agg(rows().alias("checks"), F.count_if(~F.col("passed")).alias("failures"), seconds.alias("checked_at_seconds"))
 
 
 def grain_and_freshness(df: DataFrame, grain: list[str], loaded: str) -> DataFrame:

@@ -290,3 +290,9 @@ def test_turnaround_percentiles_are_exact(spark):
     assert tuple(q) == ("q", "b", 0, None, None, None)
     p, _ = kpi.decision_turnaround(apps.union(more), exact=True).collect()
     assert (p.median_decision_hours, p.p95_decision_hours) == (30005, pytest.approx(57009.5))
+
+
+def test_latest_batch_seconds_are_rounded(spark):
+    at = lambda *seconds: spark.createDataFrame([("b", s, True) for s in seconds], "load_batch_id string, checked_at string, passed boolean").withColumn("checked_at", F.col("checked_at").cast("timestamp"))
+    seconds = [kpi.latest_batch_reconciliation(at(f"2024-01-01 00:00:{s}")).first().checked_at_seconds - 1704067200 for s in ("01.499", "01.5", "02.5", "02.761702")]
+    assert seconds == [1, 2, 2, 3] and kpi.latest_batch_reconciliation(at()).first().checked_at_seconds is None
