@@ -1,6 +1,9 @@
 """Change events to vault, marts and reports, by scenario."""
 
 import json
+import os
+import time
+
 import os
 
 import pytest
@@ -204,3 +207,38 @@ def test_workload_scenarios(spark):
     assert {r.object_name: r.rows for r in vault.current_counts(f).collect()}["mms.customers"] == 7
     events = {(r.table_name, r.operation): r.events for r in M.event_counts(f).collect()}
     assert events["mms.customer_contacts", "d"] == 1 and events["krd.installments", "c"] == 2
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    """A table's shuffle files go with the write, parts of a union are written in turn, and repeated keys are still found."""
+    from cairn.sources.store import DuplicateKey
+
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    part = lambda k: spark.range(1000).repartition(5, "id").selectExpr(f"{k} as part", "id % 100 as k").groupBy("part", "k").count()
+    store, before = TableStore(spark, str(tmp_path)), files()
+    assert store.overwrite("t", [part(0), part(1)]) == 200 and store.read("t").count() == 200
+    assert [v["operation"] for v in store.all_versions("t")] == ["OVERWRITE"]
+    wait = time.time() + 20
+    mine = lambda: files() - before
+    at_most = 2  # the counts of a write and of the test have a shuffle each
+    while len({f.split("_")[1] for f in mine()}) > at_most and time.time() < wait:
+        time.sleep(0.2)
+    assert len({f.split("_")[1] for f in mine()}) <= at_most
+    assert store.merge_new("u", part(0), "k").inserted == 100
+    with pytest.raises(DuplicateKey):
+        store.merge_new("u", part(0).union(part(1)), "k")
+
+
+def test_flattened_log_holds_no_column_twice(spark, tmp_path):
+    from cairn.warehouse import Warehouse
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    w = Warehouse(spark, sf)
+    assert set(w.flat().columns) - set(w.store.read("flat").columns) == {"event_id"}
+    assert not {"raw_payload", "payload_sha256"} & set(w.store.read("flat").columns)
+    assert w.vault("cdc_raw_vault_events").filter("raw_payload is null").isEmpty() and w.vault("cdc_raw_vault_events").count() > 0
+    w.marts()["dim_branch_current"]
+    assert not w.store.exists("gold_row_lineage") and not w.store.exists("fct_loans_current")
