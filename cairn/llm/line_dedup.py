@@ -19,6 +19,8 @@ is one row of a step.  Extra columns pass through, whatever their names; an empt
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,9 @@ LEAST = 24
 FILTER_BITS = 1 << 23
 #: Entries and probes that a bucket holds, about.
 BUCKET = 1 << 21
+#: 64-bit words of the sketches that travel with entries, and of those that are made where the lines are at hand (powers of two).
+#: Many lines of a corpus are a few words apart, which 32 bits told from two edits too seldom: families grew with the square of the input.
+SKETCH, VERIFY = 1, 4
 #: Posting lists up to this length are compared position by position, longer ones seed by seed.
 SHORT = 24
 #: Lines of a family that one task verifies; larger families are dealt to blocks.
@@ -98,15 +103,33 @@ def substrings(n: np.ndarray, edits: int):
                 yield i, n - d, at + p, length, d == 0 and p == 0
 
 
-def pair_parity(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """32 parities of the counts of byte pairs by hash."""
+@cache
+def _bits(words: int) -> np.ndarray:
+    """Of each word, the bit that a pair of bytes turns (none in all words but one)."""
+    place = mix(np.arange(1 << 16, dtype=np.uint64))
+    bit = np.uint64(1) << (place & np.uint64(63))
+    return np.stack([np.where(place >> np.uint64(6) & np.uint64(words - 1) == k, bit, np.uint64(0)) for k in range(words)])
+
+
+def pair_parity(raw: np.ndarray, start: np.ndarray, end: np.ndarray, words: int) -> np.ndarray:
+    """Parities of the counts of byte pairs by hash: a row of `words` 64-bit words a line."""
+    out = np.zeros((len(start), words), np.uint64)
     if not len(start):
-        return np.zeros(0, np.uint32)
-    pair = raw.astype(np.uint32)
-    pair[:-1] = pair[:-1] * np.uint32(257) + pair[1:]
-    bit = np.uint32(1) << ((pair * np.uint32(2654435761)) >> np.uint32(27))
-    run = np.bitwise_xor.accumulate(bit)
-    return run[end - 2] ^ np.where(start > 0, run[start - 1], np.uint32(0))
+        return out
+    pair = raw.astype(np.intp)
+    pair[:-1] = (pair[:-1] << 8) + pair[1:]
+    last, before = end - 2, start - 1
+    for k, bits in enumerate(_bits(words)):
+        run = np.take(bits, pair)
+        np.bitwise_xor.accumulate(run, out=run)
+        out[:, k] = run[last] ^ np.where(start > 0, run[before], np.uint64(0))
+    return out
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits sketches differ."""
+    n = np.bitwise_count(x ^ y)
+    return sum(n[..., k].astype(np.int16) for k in range(n.shape[-1]))
 
 
 def _deal(edits: int, least: int, buckets: int):
@@ -139,7 +162,7 @@ def _deal(edits: int, least: int, buckets: int):
                 if not len(node):
                     continue
                 n = end - start
-                sign = pair_parity(raw, start, end)
+                sign = pair_parity(raw, start, end, SKETCH)
                 for i, target, at, length, mine in substrings(n, edits):
                     salt = mix(target.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i))
                     h = mix(hashes(start + at, start + at + length) ^ salt)
@@ -158,7 +181,7 @@ def _deal(edits: int, least: int, buckets: int):
 def _candidates(edits: int):
     def run(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        key, node, sign = read("key", np.uint64), read("node", np.int64), read("sign", np.uint32)
+        key, node, sign = read("key", np.uint64), read("node", np.int64), read("sign", np.uint64).reshape(-1, SKETCH)
         index, key = (key & np.uint64(1)).astype(bool), key >> np.uint64(1)
         order = np.lexsort((~index, node, key))
         key, node, sign, index = key[order], node[order], sign[order], index[order]
@@ -168,7 +191,7 @@ def _candidates(edits: int):
         starts = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
         length = np.diff(starts, append=len(key))
         place = np.repeat(length, length)
-        close = lambda x, y: np.bitwise_count(x ^ y) <= 4 * edits
+        close = lambda x, y: _apart(x, y) <= 4 * edits
         a, b = [], []
         small = np.flatnonzero((place > 1) & (place <= SHORT))
         for d in range(1, SHORT):
@@ -314,11 +337,11 @@ def _verify(edits: int):
         raw = np.frombuffer(b"".join(text), np.uint8)
         size = np.array([len(t) for t in text])
         end = np.cumsum(size)
-        sign = pair_parity(raw, end - size, end)
+        sign = pair_parity(raw, end - size, end, VERIFY)
         root = np.arange(len(order))
         for i in range(1, len(order)):
             lo = int(np.searchsorted(size, size[i] - edits))
-            near = lo + np.flatnonzero(np.bitwise_count(sign[lo:i] ^ sign[i]) <= 4 * edits)
+            near = lo + np.flatnonzero(_apart(sign[lo:i], sign[i]) <= 4 * edits)
             while len(near):  # the newest of each other component first; those that it joins need no look
                 j = int(near[-1])
                 if root[j] == root[i] or not within(text[j], text[i], edits):

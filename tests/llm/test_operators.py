@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -360,6 +361,27 @@ def test_line_dedup(spark):
         assert row.text == (None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (row.doc_id, j) not in gone))
 
 
+def test_line_dedup_tells_lines_a_word_apart_by_their_sketches(monkeypatch):
+    """Of lines that differ in a word or two, hardly any pair is left for the edit distance; two edits never part a pair."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base = [word() for _ in range(30)]
+    lines = [" ".join(word() if i in (k % 30, k * 7 % 30) else w for i, w in enumerate(base)).encode() for k in range(300)]
+    near = [lines[0][:50] + b"zq" + lines[0][50:], lines[0][:9] + b"#" + lines[0][10:-1]]
+    asked = []
+    real = line_dedup.within
+    monkeypatch.setattr(line_dedup, "within", lambda a, b, k: asked.append(1) or real(a, b, k))
+    table = pa.table({"node": list(range(302)), "line": pa.array(lines + near, pa.binary())})
+    found = dict(zip(*(c.to_pylist() for c in line_dedup._verify(2)(table).columns), strict=True))
+    assert {v for v, c in found.items() if c == found[0]} == {0, 300, 301} and len(set(found.values())) == 300
+    assert len(asked) < 302
+    raw = np.frombuffer(b"".join(lines + near), np.uint8)
+    end = np.cumsum([len(x) for x in lines + near])
+    sign = line_dedup.pair_parity(raw, end - [len(x) for x in lines + near], end, line_dedup.SKETCH)
+    apart = line_dedup._apart(sign[1:], sign[0])
+    assert (apart[299:] <= 8).all() and (apart[:299] <= 8).mean() < 0.2
+
+
 def test_line_dedup_removes_copies_of_short_lines(spark, tmp_path):
     long = "A line of more than twenty-four bytes, number"
     texts = ["Les.\n\n  \n日本\n" + long + " 1", "Lee.\nLes.\n\n  \nLes.", None, long + " 2\n日本\nAll rights reserved.", "All rights reserved.\n " + "\n}", "}"]
