@@ -1,14 +1,20 @@
-"""Main text of web pages by markup regions and nearest-URL page differencing.
+"""Main text of web pages by nearest-URL page differencing and markup regions.
 
 A page is cut into lines (blocks of text); lines in menus, headers, footers, sidebars, notices, adverts, forms and comments
-go by their markup.  If a page has an <article> or <main>, its text is the lines inside.  Other pages are aligned with the
-nearest page of their host by longest common subsequence, and shared lines are deleted.  The nearest page is the one with
-the longest common start of the URL path; where almost all lines are shared, the two are copies, the alignment says nothing,
-and the next nearest page counts.  Two pages that are equally near, before and after, both count.
+go by their markup.  Every page is aligned with the nearest pages of its host, before and after, by longest common
+subsequence of lines.  The nearest page is the one with the longest common start of the URL path; where almost all of a
+page's text is shared, the two are copies, the alignment says nothing, and the next nearest page counts.  Pages of a host
+with the same lines are one page here, at the first of their paths, and have the same text.
 
-Lines of the hosts that have such pages are range-partitioned and sorted by host and URL path, so a hot host spreads over many partitions, and the nearest
-page is the first one before or after that is not a copy.  Pages that find none before the end of their partition look on
-in the next one, until the host ends.
+What the alignment shares is deleted, and a check on the markup follows.  If a page has an <article> or <main>, its text is the
+lines inside; there a shared line may also be a passage that two articles have in common, so it is deleted only if it is
+shared with the nearest pages on both sides (on the one there is, at a host's ends), and is so on WIDE different pages of the host
+at least and on more than half of those with an article; where such lines are half of an article's text or more, the pages are
+versions of one article and it stays whole.  Of other pages, all lines shared with the nearest page go; two pages that are
+equally near, before and after, both count.
+
+Lines travel as hashes of 64 bits.  They are range-partitioned and sorted by host and URL path, so a hot host spreads over many
+partitions.  Pages that find no nearest page before the end of their partition look on in the next one, until the host ends.
 
 A null html is empty and gives an empty text; pages without a readable host form a host of their own.  Broken or cut
 markup is read as far as it goes.  Very long pages are read in time that grows with their length, and aligned in memory that
@@ -18,16 +24,16 @@ does.  Repeated rows and ids are extracted one by one; extra columns are ignored
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from functools import reduce
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, small_batches
+from .common import load, materialize, release, small_batches
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _space = re.compile(r"\s+")
@@ -42,6 +48,8 @@ DROPPED = frozenset("nav footer aside form dialog menu".split())
 CLASSES = frozenset(
     "ad ads advert advertisement adverts adsense alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split()
 )
+#: Different pages of a host on which a line of an article must be shared before it counts as the host's, not the article's.
+WIDE = 5
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
@@ -172,83 +180,154 @@ def _prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _read(batches):
-    def batch_of(rows):
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_())), strict=True)], ["page_id", "url", "host", "path", "lines", "inside"])
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _content(found: list[tuple[str, bool]]) -> int:
+    return _hash("\n".join(f"{inside:d}{line}" for line, inside in found))
 
+
+def _read_lines(batches):
+    """What the search needs of each page that has lines: hashes and sizes of the lines, and which are inside an article."""
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            found = page_lines(batch.column("html")[i].as_py() or "")
+            if found:
+                rows.append({
+                    **{c: batch.column(c)[i].as_py() for c in ("host", "path", "page_id")}, "content": _content(found),
+                    "lines": [_hash(s) for s, _ in found], "sizes": [len(s) for s, _ in found], "inside": [x for _, x in found],
+                })
+        yield pa.RecordBatch.from_pylist(rows, _PAGE)
+
+
+def _read_texts(batches):
+    """The lines of each page that its text is made of, joined: those inside an article, or all where none is."""
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()), ("text", pa.string())])
     for batch in batches:
         rows, size = [], 0
         for i in range(batch.num_rows):
-            page, url, html, host, path = (batch.column(c)[i].as_py() for c in ("page_id", "url", "html", "host", "path"))
-            found = page_lines(html or "")
-            rows.append((page, url, host, path, [s for s, _ in found], [inside for _, inside in found]))
-            size += sum(len(s) for s, _ in found)
+            found = page_lines(batch.column("html")[i].as_py() or "")
+            text = "\n\n".join([s for s, inside in found if inside] or [s for s, _ in found])
+            rows.append({**{c: batch.column(c)[i].as_py() for c in ("page_id", "url", "host")}, "content": _content(found), "text": text})
+            size += len(text)
             if size > 4_000_000:
-                yield batch_of(rows)
+                yield pa.RecordBatch.from_pylist(rows, schema)
                 rows, size = [], 0
         if rows:
-            yield batch_of(rows)
-
-
-_SOUGHT = "at long, step int, part int, first int, last int, host string, path string, lines array<string>, near int, shared array<int>"
-
-
-def _seek(seekers: pa.Table, pages: pa.Table) -> pa.Table:
-    """Seekers with the first page of their host in one partition, on their side, that is no copy (near and shared set); else
-    with the next partition to look in."""
-    rows = sorted(pages.to_pylist(), key=lambda r: r["at"])
-    ats, known = [r["at"] for r in rows], {}
-    kind = [known.setdefault((r["host"], tuple(r["lines"])), len(known)) for r in rows]
-    # the next row on each side whose lines differ: a run of equal pages is passed in one step
-    ahead = {-1: list(range(-1, len(rows) - 1)), 1: list(range(1, len(rows) + 1))}
-    for i in range(1, len(rows)):
-        if kind[i] == kind[i - 1]:
-            ahead[-1][i] = ahead[-1][i - 1]
-    for i in range(len(rows) - 2, -1, -1):
-        if kind[i] == kind[i + 1]:
-            ahead[1][i] = ahead[1][i + 1]
-    tried, out = {}, []
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+_PAGE = pa.schema([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("content", pa.int64()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("inside", pa.list_(pa.bool_()))])
+_PAGE_SQL = "host string, path string, page_id long, content long, lines array<long>, sizes array<int>, inside array<boolean>"
+_LINE = pa.struct([("i", pa.int32()), ("line", pa.int64()), ("size", pa.int32())])
+_NEAR = pa.struct([("near", pa.int32()), ("shared", pa.list_(_LINE))])
+_NEAR_SQL = "struct<near:int,shared:array<struct<i:int,line:bigint,size:int>>>"
+
+
+class _Rows:
+    """Pages of one partition in the order of their places; lists are made when a row is looked at."""
+
+    def __init__(self, table: pa.Table):
+        self.host, self.path = table["host"].to_pylist(), table["path"].to_pylist()
+        self.lists = {c: table[c].combine_chunks() for c in ("lines", "sizes", "inside")}
+
+    def get(self, name: str, i: int) -> list:
+        return self.lists[name][i].as_py()
+
+    def look(self, i: int, step: int, host: str, path: str, lines: list[int], sizes: list[int], inside: list[bool]) -> tuple[dict | None, bool]:
+        """The first page of the host from i on that is no copy, as (near and shared lines that the text is made of), and
+        whether the rows ended before the host did."""
+        number = [k for k, x in enumerate(inside) if x] or range(len(lines))
+        place = {k: n for n, k in enumerate(number)}
+        known, chars = set(lines), sum(sizes[k] for k in number)
+        while 0 <= i < len(self.host) and self.host[i] == host:
+            other, shared = self.get("lines", i), []
+            if not known.isdisjoint(other):
+                shared = [{"i": place[k], "line": lines[k], "size": sizes[k]} for k in sorted(common_lines(lines, other)) if k in place]
+            if 10 * sum(x["size"] for x in shared) < 8 * chars:
+                return {"near": _prefix(path, self.path[i]), "shared": shared}, False
+            i += step
+        return None, not 0 <= i < len(self.host)
+
+
+def _search(batches):
+    """Pages of a sorted partition with their nearest pages in it on both sides, or that these may be in the next partition."""
+    table = pa.Table.from_batches(batches, _PAGE)
+    rows, out = _Rows(table), {-1: [], 1: []}
+    for i in range(table.num_rows):
+        own = rows.host[i], rows.path[i], rows.get("lines", i), rows.get("sizes", i), rows.get("inside", i)
+        for step in out:
+            out[step].append(rows.look(i + step, step, *own))
+    table = table.append_column("at", pa.array(range(table.num_rows), pa.int32()))
+    for step, name in ((-1, "before"), (1, "after")):
+        table = table.append_column(name, pa.array([near for near, _ in out[step]], _NEAR)).append_column(f"{name}_open", pa.array([x for _, x in out[step]], pa.bool_()))
+    yield from table.to_batches(2000)
+
+
+_SOUGHT = f"step int, part int, first int, last int, host string, path string, content long, lines array<long>, sizes array<int>, inside array<boolean>, found {_NEAR_SQL}"
+
+
+def _search_on(seekers: pa.Table, pages: pa.Table) -> pa.Table:
+    """Seekers with the first page of their host in this partition that is no copy; else with the next partition to look in."""
+    rows, out = _Rows(pages.sort_by("at")), []
+    first, end = {}, {}
+    for i, host in enumerate(rows.host):
+        first.setdefault(host, i)
+        end[host] = i
     for q in seekers.to_pylist():
-        own, step = q["lines"], q["step"]
-        i = bisect_left(ats, q["at"]) - 1 if step < 0 else bisect_right(ats, q["at"])
-        while 0 <= i < len(rows) and rows[i]["host"] == q["host"]:
-            key = (tuple(own), kind[i])
-            if key not in tried:
-                found = common_lines(own, rows[i]["lines"])
-                copy = 10 * sum(len(own[k]) for k in found) >= 8 * sum(len(s) for s in own)
-                tried[key] = None if copy else sorted(found)
-            if tried[key] is not None:
-                q.update(near=_prefix(q["path"], rows[i]["path"]), shared=tried[key])
-                break
-            i = ahead[step][i]
-        else:
-            q["part"] += step
+        if q["host"] in first:
+            start = end[q["host"]] if q["step"] < 0 else first[q["host"]]
+            q["found"], _ = rows.look(start, q["step"], q["host"], q["path"], q["lines"], q["sizes"], q["inside"])
+        if q["found"] is None:
+            q["part"] += q["step"]
         out.append(q)
     return pa.Table.from_pylist(out, seekers.schema)
 
 
-def _alone() -> Column:
-    """Whether a page has lines, but none inside an article."""
-    return (F.size("lines") > 0) & ~F.exists("inside", lambda x: x)
-
-
-def _shared(table: DataFrame) -> DataFrame:
-    """at and the positions of the lines that go, of pages without an article that have a nearest page."""
-    alone = table.filter(_alone())
+def _aligned(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different pages of each host, and (host, content, found) for each side of a page that has a nearest page."""
+    one = read.groupBy("host", "content").agg(F.min(F.struct("path", "page_id")).alias("place"), *[F.first(c).alias(c) for c in ("lines", "sizes", "inside")])
+    pages = materialize(one.select("host", "place.path", "place.page_id", "content", "lines", "sizes", "inside"), "pages")
+    order = ("host", "path", "page_id", "content")
+    dealt = pages.repartitionByRange(*order).sortWithinPartitions(*order)
+    sides = f"before {_NEAR_SQL}, before_open boolean, after {_NEAR_SQL}, after_open boolean"
+    table = materialize(dealt.mapInArrow(_search, f"{_PAGE_SQL}, at int, {sides}").withColumn("part", F.spark_partition_id()), "aligned")
+    release(pages)
+    found = [table.select("host", "content", F.col(c).alias("found")).filter("found is not null") for c in ("before", "after")]
     hosts = table.groupBy("host").agg(F.min("part").alias("first"), F.max("part").alias("last"))
-    nothing = F.lit(None).cast("int").alias("near"), F.lit(None).cast("array<int>").alias("shared")
-    sides = alone.join(hosts, "host").select("at", F.explode(F.array(F.lit(-1), F.lit(1))).alias("step"), "part", "first", "last", "host", "path", "lines", *nothing)
-    seekers = materialize(sides, "seekers")
-    pages, found = table.select("part", "at", "host", "path", "lines"), []
+    opened = [table.filter(f"{c}_open").select("*", F.lit(step).alias("step")) for c, step in (("before", -1), ("after", 1))]
+    seekers = opened[0].union(opened[1]).join(hosts, "host").withColumns({"part": F.col("part") + F.col("step"), "found": F.lit(None).cast(_NEAR_SQL)})
+    names = [c.split()[0] for c in _SOUGHT.split(", ")]
+    seekers = materialize(seekers.filter("part between first and last").select(names), "seekers")
     while not seekers.isEmpty():
-        met = pages.join(seekers.select("part", "host").distinct(), ["part", "host"], "left_semi")
-        went = materialize(seekers.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_seek, _SOUGHT), "sought")
-        found.append(went.filter("near is not null").select("at", "near", "shared"))
-        seekers = went.filter("near is null and part between first and last")
-    every = reduce(DataFrame.union, found)
-    most = every.groupBy("at").agg(F.max("near").alias("near"))
-    return every.join(most, ["at", "near"]).groupBy("at").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
+        met = table.select("part", "at", "host", "path", "lines", "sizes", "inside").join(seekers.select("part", "host").distinct(), ["part", "host"], "left_semi")
+        went = materialize(seekers.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_search_on, _SOUGHT), "sought")
+        found.append(went.filter("found is not null").select("host", "content", "found"))
+        seekers = went.filter("found is null and part between first and last")
+    return table, reduce(DataFrame.union, found)
+
+
+def _gone(read: DataFrame) -> DataFrame:
+    """host, content and the numbers of the lines that go (gone), of pages that lose any."""
+    table, found = _aligned(read)
+    article = F.exists("inside", lambda x: x)
+    chars = F.aggregate(F.zip_with("sizes", "inside", lambda n, x: F.when(x, n).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    # only the pages of which a line is shared move on; sides that share nothing decide with them
+    sides = found.groupBy("host", "content").agg(F.collect_list("found").alias("found")).filter(F.exists("found", lambda x: F.size(x.shared) > 0))
+    sides = materialize(sides.join(table.select("host", "content", article.alias("article"), chars.alias("chars")), ["host", "content"]), "sides")
+    numbers = lambda x: F.transform(x.shared, lambda y: y.i)
+    # other pages: what is shared with the nearest page, or with both where they are equally near
+    nearest = F.filter("found", lambda x: x.near == F.array_max(F.transform("found", lambda y: y.near)))
+    alone = sides.filter("not article").select("host", "content", F.array_distinct(F.flatten(F.transform(nearest, numbers))).alias("gone"))
+    # pages with an article: what is shared on both sides, on most of the host's pages
+    both = F.filter(F.element_at("found", 1).shared, lambda y: F.array_contains(numbers(F.element_at("found", -1)), y.i))
+    lines = sides.filter("article").select("host", "content", "chars", F.explode(both).alias("x")).select("host", "content", "chars", "x.*")
+    pages = table.filter(article).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    wide = lines.groupBy("host", "line").agg(F.count_distinct("content").alias("n")).filter(F.col("n") >= WIDE).join(pages, "host").filter("2 * n > pages")
+    taken = lines.join(wide.select("host", "line"), ["host", "line"]).groupBy("host", "content", "chars").agg(F.collect_list("i").alias("gone"), F.sum("size").alias("size"))
+    return materialize(alone.filter(F.size("gone") > 0).union(taken.filter("2 * size < chars").select("host", "content", "gone")), "gone")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -260,17 +339,11 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
-    read = placed.mapInArrow(_read, "page_id long, url string, host string, path string, lines array<string>, inside array<boolean>")
-    article = F.filter("lines", lambda x, i: F.col("inside")[i])
-    kept = read.filter(~_alone()).select("page_id", "url", article.alias("kept"))
-    hosts = materialize(read.filter(_alone()).select("host").distinct(), "hosts")
-    if not hosts.isEmpty():
-        table = read.join(hosts, "host", "left_semi").repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-        table = materialize(table.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "pages")
-        rest = table.filter(_alone()).join(_shared(table), "at", "left")
-        left = F.filter("lines", lambda x, i: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i))
-        kept = kept.union(rest.select("page_id", "url", left.alias("kept")))
-    return kept.select("page_id", "url", F.array_join("kept", "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    gone = _gone(placed.select("host", "path", "page_id", "html").mapInArrow(_read_lines, _PAGE_SQL))
+    whole = placed.select("page_id", "url", "host", "html").mapInArrow(_read_texts, "page_id long, url string, host string, content long, text string")
+    left = F.filter(F.split("text", "\n\n"), lambda x, i: ~F.array_contains(F.col("gone"), i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n\n"))
+    return whole.join(gone, ["host", "content"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

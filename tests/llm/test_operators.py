@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import time
@@ -522,6 +523,104 @@ def test_html_borders_and_copies(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
 
 
+def shuffled_by(spark, n, df):
+    """Texts of the pages with n partitions after a shuffle."""
+    keys = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        return {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_html_differencing_inside_articles(spark):
+    # an unnamed box inside every article, a passage in two neighbours, and versions of one article on another host
+    texts = [f"<p>Body number {i} in words of its own, and more of them" + ("<p>a passage that two have" if i in (3, 4) else "") for i in range(9)]
+    rows = [(i, f"http://a.org/x/{i}", PAGE.format(f"<article>{t}<div>Get our letter</div></article>")) for i, t in enumerate(texts)]
+    same = "".join(f"<p>line {k} of an article in versions" for k in range(3))
+    rows += [(20 + i, f"http://b.org/x/{i}", PAGE.format(f"<article>{same}<p>and what only version {i} of the article has to say, in words of its own</article>")) for i in range(9)]
+    # too few pages to tell
+    rows += [(40 + i, f"http://c.org/x/{i}", PAGE.format(f"<article>{texts[i]}<div>Get our letter</div></article>")) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = shuffled_by(spark, 4, df)
+    for i, t in enumerate(texts):
+        assert got[i] == t.removeprefix("<p>").replace("<p>", "\n\n")
+    for i, _, html in rows[9:]:
+        assert got[i] == "\n\n".join(line for line, inside in html_extract.page_lines(html) if inside)
+
+
+def plain_texts(pages):
+    """The texts as the docstring says, each page compared with the pages of its host in turn."""
+    out, hosts = {}, {}
+    for i, url, html in pages:
+        lines = html_extract.page_lines(html)
+        hosts.setdefault(url.split("/")[2], {}).setdefault(tuple(lines), []).append((url.split("/", 3)[3], i))
+    for host in hosts.values():
+        order = sorted((min(places), lines) for lines, places in host.items() if lines)
+        shared = {}
+        for at, ((path, _), lines) in enumerate(order):
+            mine = [k for k, (_, inside) in enumerate(lines) if inside] or list(range(len(lines)))
+            for step in (-1, 1):
+                k = at + step
+                while 0 <= k < len(order):
+                    found = html_extract.common_lines([s for s, _ in lines], [s for s, _ in order[k][1]]) & set(mine)
+                    if 10 * sum(len(lines[j][0]) for j in found) < 8 * sum(len(lines[j][0]) for j in mine):
+                        near = len(os.path.commonprefix([path, order[k][0][0]]))
+                        shared.setdefault(lines, []).append((near, found))
+                        break
+                    k += step
+        articles = [lines for _, lines in order if any(x for _, x in lines)]
+        both = {lines: set.intersection(*[f for _, f in shared[lines]]) for lines in articles if lines in shared}
+        counts = {}
+        for lines, found in both.items():
+            for s in {lines[k][0] for k in found}:
+                counts[s] = counts.get(s, 0) + 1
+        wide = {s for s, n in counts.items() if n >= html_extract.WIDE and 2 * n > len(articles)}
+        for lines, places in host.items():
+            if lines in articles:
+                mine = [k for k, (_, inside) in enumerate(lines) if inside]
+                gone = {k for k in both.get(lines, ()) if lines[k][0] in wide}
+                if 2 * sum(len(lines[k][0]) for k in gone) >= sum(len(lines[k][0]) for k in mine):
+                    gone = set()
+            else:
+                mine, near = range(len(lines)), max((n for n, _ in shared.get(lines, [])), default=0)
+                gone = {k for n, f in shared.get(lines, []) if n == near for k in f}
+            for _, i in places:
+                out[i] = "\n\n".join(lines[k][0] for k in mine if k not in gone)
+    return out
+
+
+def test_html_differencing_agrees_with_plain_search(spark):
+    r = random.Random(13)
+    rows, bodies = [], []
+    for i in range(150):
+        body = [prose(r, r.randint(2, 30)) for _ in range(r.randint(1, 5))]
+        if bodies and r.random() < 0.3:
+            body = list(r.choice(bodies))  # a copy, or a near one
+            if r.random() < 0.5:
+                body[r.randrange(len(body))] = prose(r, 4)
+        bodies.append(body)
+        lines = [f"<p>{s}" for s in body]
+        if r.random() < 0.3:
+            lines.insert(r.randrange(len(lines) + 1), "<p>a passage that some have")
+        for extra in ("<div>Get our letter</div>", "<div>Follow us</div>"):
+            if r.random() < 0.95:
+                lines.insert(r.randrange(len(lines) + 1), extra)
+        text = "".join(lines)
+        html = PAGE.format("<div>Top</div>" + (f"<article>{text}</article>" if r.random() < 0.8 else text) + "<div>End</div>")
+        rows.append((i, f"http://{r.choice('aaaab')}.org/{r.choice('xyz')}/{r.randint(1, 40)}", html))
+    rows += [(200, "http://a.org/x/1", ""), (201, "http://c.org/x/1", PAGE.format("<p>alone"))]
+    want = plain_texts(rows)
+    whole = {i: "\n\n".join([s for s, x in ls if x] or [s for s, _ in ls]) for i, ls in ((i, html_extract.page_lines(h)) for i, _, h in rows)}
+    assert sum(want[i] != whole[i] for i in want) > 50  # differencing decides on many of these pages
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for n in (1, 6, 40):
+        assert shuffled_by(spark, n, df) == want, n
+
+
 def test_common_lines_is_longest():
     r = random.Random(11)
     for _ in range(300):
