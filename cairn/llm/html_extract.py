@@ -3,7 +3,7 @@
 A page is cut into lines (blocks of text); lines in menus, headers, footers, sidebars, notices, adverts, forms and comments
 go by their markup.  Every page is aligned with the nearest pages of its host, before and after, by longest common
 subsequence of lines.  The nearest page is the one with the longest common start of the URL path; where almost all of a
-page's text is shared, the two are copies, the alignment says nothing, and the next nearest page counts.  Pages of a host
+page's text, by lines, is in the other, it is a copy, the alignment says nothing, and the next nearest page counts.  Pages of a host
 with the same lines are one page here, at the first of their paths, and have the same text.
 
 What the alignment shares is deleted, and a check on the markup follows.  If a page has an <article> or <main>, its text is the
@@ -24,6 +24,7 @@ does.  Repeated rows and ids are extracted one by one; extra columns are ignored
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 from hashlib import blake2b
 from html import unescape
@@ -48,6 +49,8 @@ DROPPED = frozenset("nav footer aside form dialog menu".split())
 CLASSES = frozenset(
     "ad ads advert advertisement adverts adsense alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split()
 )
+#: Blocks of near copies have 2**LEAST_LEVEL rows at least.
+LEAST_LEVEL = 3
 #: Different pages of a host on which a line of an article must be shared before it counts as the host's, not the article's.
 WIDE = 5
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -232,23 +235,69 @@ class _Rows:
     def __init__(self, table: pa.Table):
         self.host, self.path = table["host"].to_pylist(), table["path"].to_pylist()
         self.lists = {c: table[c].combine_chunks() for c in ("lines", "sizes", "inside")}
+        self.sets: dict[int, dict[int, int]] = {}
+        self.blocks: dict[tuple[int, int], tuple[dict[int, int], int]] = {}
+        self.first: dict[str, int] = {}
+        self.end: dict[str, int] = {}
+        for i, host in enumerate(self.host):
+            self.first.setdefault(host, i)
+            self.end[host] = i + 1
 
     def get(self, name: str, i: int) -> list:
         return self.lists[name][i].as_py()
 
+    def known(self, i: int) -> dict[int, int]:
+        """The different lines of a row and their sizes; some rows are remembered."""
+        if i not in self.sets:
+            if len(self.sets) >= 4000:
+                self.sets.clear()
+            self.sets[i] = dict(zip(self.get("lines", i), self.get("sizes", i), strict=True))
+        return self.sets[i]
+
+    def block(self, level: int, start: int) -> tuple[dict[int, int], int]:
+        """The lines that most of 2**level rows have, with their sizes, and the most characters of them that a row lacks."""
+        if (level, start) not in self.blocks:
+            count: Counter[int] = Counter()
+            for i in range(start, start + (1 << level)):
+                count.update(self.known(i).keys())
+            lead = {x for x, n in count.items() if 2 * n > 1 << level}
+            sizes = {x: n for i in range(start, start + (1 << level)) for x, n in self.known(i).items() if x in lead} if lead else {}
+            self.blocks[level, start] = sizes, max(sum(sizes[x] for x in lead - self.known(i).keys()) for i in range(start, start + (1 << level)))
+        return self.blocks[level, start]
+
     def look(self, i: int, step: int, host: str, path: str, lines: list[int], sizes: list[int], inside: list[bool]) -> tuple[dict | None, bool]:
         """The first page of the host from i on that is no copy, as (near and shared lines that the text is made of), and
-        whether the rows ended before the host did."""
+        whether the rows ended before the host did.
+
+        Blocks in which all rows must be copies are passed in one step: a row has those of the page's lines that most rows of the
+        block have, but for what it lacks of these.  So runs of near copies are not compared pair by pair.
+        """
         number = [k for k, x in enumerate(inside) if x] or range(len(lines))
         place = {k: n for n, k in enumerate(number)}
-        known, chars = set(lines), sum(sizes[k] for k in number)
-        while 0 <= i < len(self.host) and self.host[i] == host:
-            other, shared = self.get("lines", i), []
-            if not known.isdisjoint(other):
-                shared = [{"i": place[k], "line": lines[k], "size": sizes[k]} for k in sorted(common_lines(lines, other)) if k in place]
-            if 10 * sum(x["size"] for x in shared) < 8 * chars:
+        chars = sum(sizes[k] for k in number)
+        weight: dict[int, int] = {}
+        for k in number:
+            weight[lines[k]] = weight.get(lines[k], 0) + sizes[k]
+        times = max(Counter(lines[k] for k in number).values())
+        low, high = self.first.get(host, 0), self.end.get(host, 0)
+        level = 0
+        while low <= i < high:
+            start = i if step > 0 else i + 1 - (1 << level)
+            if level and (start < low or start + (1 << level) > high or start & ((1 << level) - 1)):
+                level = level - 1 if level > LEAST_LEVEL else 0
+                continue
+            has, lacks = self.block(level, start) if level else (self.known(i), 0)
+            same = sum(n for x, n in weight.items() if x in has) - times * lacks
+            if 10 * same >= 8 * chars:
+                i += step << level
+                level = max(level + 1, LEAST_LEVEL)
+            elif level:
+                level = level - 1 if level > LEAST_LEVEL else 0
+            else:
+                other, shared = self.get("lines", i), []
+                if not weight.keys().isdisjoint(other):
+                    shared = [{"i": place[k], "line": lines[k], "size": sizes[k]} for k in sorted(common_lines(lines, other)) if k in place]
                 return {"near": _prefix(path, self.path[i]), "shared": shared}, False
-            i += step
         return None, not 0 <= i < len(self.host)
 
 
@@ -272,13 +321,9 @@ _SOUGHT = f"step int, part int, first int, last int, host string, path string, c
 def _search_on(seekers: pa.Table, pages: pa.Table) -> pa.Table:
     """Seekers with the first page of their host in this partition that is no copy; else with the next partition to look in."""
     rows, out = _Rows(pages.sort_by("at")), []
-    first, end = {}, {}
-    for i, host in enumerate(rows.host):
-        first.setdefault(host, i)
-        end[host] = i
     for q in seekers.to_pylist():
-        if q["host"] in first:
-            start = end[q["host"]] if q["step"] < 0 else first[q["host"]]
+        if q["host"] in rows.first:
+            start = rows.end[q["host"]] - 1 if q["step"] < 0 else rows.first[q["host"]]
             q["found"], _ = rows.look(start, q["step"], q["host"], q["path"], q["lines"], q["sizes"], q["inside"])
         if q["found"] is None:
             q["part"] += q["step"]

@@ -566,8 +566,9 @@ def plain_texts(pages):
             for step in (-1, 1):
                 k = at + step
                 while 0 <= k < len(order):
-                    found = html_extract.common_lines([s for s, _ in lines], [s for s, _ in order[k][1]]) & set(mine)
-                    if 10 * sum(len(lines[j][0]) for j in found) < 8 * sum(len(lines[j][0]) for j in mine):
+                    other = [s for s, _ in order[k][1]]
+                    if 10 * sum(len(lines[j][0]) for j in mine if lines[j][0] in other) < 8 * sum(len(lines[j][0]) for j in mine):
+                        found = html_extract.common_lines([s for s, _ in lines], other) & set(mine)
                         near = len(os.path.commonprefix([path, order[k][0][0]]))
                         shared.setdefault(lines, []).append((near, found))
                         break
@@ -621,6 +622,47 @@ def test_html_differencing_agrees_with_plain_search(spark):
         assert shuffled_by(spark, n, df) == want, n
 
 
+def test_html_passes_runs_of_near_copies(monkeypatch):
+    r = random.Random(14)
+    tests = 0
+    for n, changes in ((300, (0, 0, 1, 1, 2, 6)), (60, (0, 1, 3, 5, 8)), (2000, (1,))):
+        base, pages = list(range(10)), []
+        for _ in range(n):
+            lines = base + r.choices(base, k=2)
+            for _ in range(r.choice(changes)):
+                lines[r.randrange(len(lines))] = r.randrange(100, 10**6)
+            if r.random() < 0.02 and n < 2000:
+                base = [r.randrange(10**6, 10**7) for _ in range(10)]
+            pages.append(lines)
+        pages = [(f"h{3 * i // n}" if n < 2000 else "h", lines, [1 + x % 40 for x in lines], [x % 3 > 0 for x in lines] if i % 2 else [False] * 12) for i, lines in enumerate(pages)]
+        rows = html_extract._Rows(pa.table({"host": [p[0] for p in pages], "path": [f"/{i}" for i in range(n)], "lines": [p[1] for p in pages], "sizes": [p[2] for p in pages], "inside": [p[3] for p in pages]}))
+        known = rows.known
+
+        def counted(i, known=known):
+            nonlocal tests
+            tests += 1
+            return known(i)
+
+        monkeypatch.setattr(rows, "known", counted)
+        for i, (host, lines, sizes, inside) in enumerate(pages):
+            mine = [k for k in range(12) if inside[k]] or range(12)
+            for step in (-1, 1):
+                got = rows.look(i + step, step, host, f"/{i}", lines, sizes, inside)
+                k = i + step
+                if n < 2000:  # as pair by pair
+                    while 0 <= k < n and pages[k][0] == host and 10 * sum(sizes[j] for j in mine if lines[j] in pages[k][1]) >= 8 * sum(sizes[j] for j in mine):
+                        k += step
+                    if 0 <= k < n and pages[k][0] == host:
+                        found = html_extract.common_lines(lines, pages[k][1])
+                        want = [(lines[j], sizes[j]) for j in mine if j in found]
+                        assert not got[1] and [(x["line"], x["size"]) for x in got[0]["shared"]] == want and got[0]["near"] == len(os.path.commonprefix([f"/{i}", f"/{k}"]))
+                    else:
+                        assert got == (None, not 0 <= k < n)
+        if n < 2000:
+            tests = 0
+    assert tests < 2000 * 2000 / 10  # pair by pair: 4 million
+
+
 def test_common_lines_is_longest():
     r = random.Random(11)
     for _ in range(300):
